@@ -133,3 +133,8 @@ def align_pictures(elements: DataFrame, raw_images: DataFrame) -> DataFrame:
         .select("doc_id", "idx", "page", F.when(F.col("aligned"), F.col("_path")).alias("img"),
                 "aligned")
     )
+
+
+def is_large_table(html: Column, max_rows: int = 50, max_chars: int = 12_000) -> Column:
+    """Whether a table is too large to be rewritten row by row."""
+    return (F.regexp_count(html, F.lit("<tr>")) > max_rows) | (F.length(html) > max_chars)

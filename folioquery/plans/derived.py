@@ -62,7 +62,7 @@ def with_readings(elements: DataFrame) -> DataFrame:
     reading = F.struct(
         F.lit("chart").alias("type"),
         F.when(has_data, "HAS_DATA").otherwise("NO_DATA").alias("data"),
-        F.when(has_data, F.concat(F.lit("Reading of "), F.upper("text"))).otherwise("").alias("text"),
+        F.when(has_data, F.concat(F.lit("Reading of "), "text")).otherwise("").alias("text"),
         F.col("img").alias("img"),
     )
     return elements.withColumn("vl", F.when(F.col("type") == "picture", reading))
