@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LLM_WEIGHT = 0.7
+MODEL_WEIGHT = 0.7
 BATCH = 10
 TOP_N = 6
 WEAK_THRESHOLD = 0.5
@@ -17,15 +19,19 @@ def with_batches(candidates: DataFrame, batch: int = BATCH) -> DataFrame:
 
 
 def combine_rankings(
-    scored: DataFrame, keys: list[str], llm_weight: float = LLM_WEIGHT, top_n: int = TOP_N
+    scored: DataFrame, keys: list[str], model_weight: float = MODEL_WEIGHT, top_n: int = TOP_N
 ) -> DataFrame:
     """Rounded weighted mean of ``relevance_score`` and the rounded fused ``score``.
 
     The best ``top_n`` are kept; equal combined scores keep their fused order.
+    Decimal arithmetic makes the rounding, and with it the ties, exact.
     """
+    weight = Decimal(str(model_weight))
     combined = F.round(
-        llm_weight * F.col("relevance_score") + (1 - llm_weight) * F.col("score"), 4
-    )
+        F.lit(weight) * F.col("relevance_score").cast("decimal(7,6)")
+        + F.lit(1 - weight) * F.col("score").cast("decimal(7,4)"),
+        4,
+    ).cast("double")
     order = Window.partitionBy(*keys).orderBy(F.desc("combined_score"), "rank")
     return (
         scored.withColumn("combined_score", combined)
