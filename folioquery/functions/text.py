@@ -65,8 +65,10 @@ def token_count(text: Column) -> Column:
 
 def token_truncate(text: Column, cap: int) -> Column:
     """Keep the text up to the end of its ``cap``-th token."""
-    head = F.regexp_extract(text, rf"(?s)^(?:[ \t\n\r]*(?:{TOKEN_PATTERN})){{1,{int(cap)}}}", 0)
-    return F.when(token_count(text) > cap, head).otherwise(text)
+    pieces = F.regexp_extract_all(text, F.lit(rf"[ \t\n\r]*(?:{TOKEN_PATTERN})"), F.lit(0))
+    return F.when(
+        token_count(text) > cap, F.array_join(F.slice(pieces, 1, cap), "")
+    ).otherwise(text)
 
 
 def numeric_conservation(original: Column, rewritten: Column) -> Column:

@@ -12,9 +12,11 @@ from folioquery.operators.parents import METRIC_CONTEXT_CHARS, keep_prefix
 
 
 def latest_answers(run: DataFrame, order: str) -> DataFrame:
-    """One row per question of a run; a later duplicate wins."""
-    newest = Window.partitionBy("question").orderBy(F.desc(order))
-    return run.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
+    """One row per question of a run; a later duplicate wins.  Copies meet map-side."""
+    others = [c for c in run.columns if c != "question"]
+    return run.groupBy("question").agg(
+        F.max_by(F.struct(*others), F.col(order)).alias("_r")
+    ).select("question", "_r.*")
 
 
 def baseline_answers(submission: DataFrame) -> DataFrame:

@@ -16,7 +16,13 @@ def l2_normalize(vector: Column) -> Column:
     norm = F.sqrt(F.aggregate(
         vector, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")
     ))
-    return F.when(norm > 0, F.transform(vector, lambda x: (x / norm).cast("float"))).otherwise(vector)
+    # The one-element array makes the norm a lambda variable: computed once per row.
+    return F.transform(
+        F.array(norm),
+        lambda n: F.transform(
+            vector, lambda x: F.when(n > 0, x / n).otherwise(x).cast("float")
+        ),
+    )[0]
 
 
 def _dot(block: pd.DataFrame, asked: pd.DataFrame) -> np.ndarray:

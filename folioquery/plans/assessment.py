@@ -398,12 +398,12 @@ def resume_pending(spark, folder):
 
 @query("resume_answers", """
 SELECT e.event_id FROM events e
-WHERE e.user_id NOT IN (SELECT user_id FROM events WHERE event_type <> 'error')
+WHERE e.user_id NOT IN (SELECT user_id FROM events WHERE event_type <> 'error' AND value > 200)
    OR e.user_id IS NULL""")
 def resume_answers(spark, folder):
     """Rows whose question has no answer yet; failed answers do not count."""
-    events = table(spark, folder, "events").select("event_id", "user_id", "event_type")
-    done = stages.answered(events.select(
+    events = table(spark, folder, "events").select("event_id", "user_id", "event_type", "value")
+    done = stages.answered(events.where(F.col("value") > 200).select(
         F.col("user_id").alias("question"), F.when(F.col("event_type") == "error", "x").alias("error")
     ))
     asked = events.select("event_id", F.col("user_id").alias("question"))
