@@ -72,7 +72,9 @@ def blocked_topk(
 
     def best(block: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if block.empty or asked.empty:
-            return pd.DataFrame({"question_id": [], "route": [], "chunk_id": [], "score": []})
+            return pd.DataFrame(
+                {"question_id": [], "route": [], "chunk_id": [], "score": []}, dtype=object
+            )
         scores = np.round(score(block, asked), SCORE_DIGITS) + 0.0
         ids = block["chunk_id"].to_numpy()
         rows, cols = top_of_block(scores, ids, k)

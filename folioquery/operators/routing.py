@@ -41,7 +41,7 @@ def _pattern(key: Column) -> Column:
     return F.concat(F.lit("(?iU)\\Q"), quoted, F.lit("\\E(?:\\W|$)"))
 
 
-def _candidates(open_questions: DataFrame, keys: DataFrame) -> DataFrame:
+def _candidates(open_questions: DataFrame, keys: DataFrame, again: bool) -> DataFrame:
     """Keys that occur in the remaining text, in consuming order, per question."""
     lengths = keys.agg(F.collect_set(F.length("key")).alias("_lengths"))
     text = F.lower("rest")
@@ -70,12 +70,18 @@ def _candidates(open_questions: DataFrame, keys: DataFrame) -> DataFrame:
         (-F.length("key")).alias("neg_len"), "csv_ord", "key_ord", "key",
         F.col("doc_id").cast("string").alias("doc_id"),
     ).cast(_KEY)
-    # Each occurrence is consumed once, so of the reports sharing a key only as
-    # many as it occurs can be hit.
+    # Each occurrence is consumed once, so of the reports sharing a key that are
+    # still to come only as many as it occurs can be hit.
+    if again:
+        found = spots.join(ranked, "_low").withColumn("_entry", entry).where(
+            F.col("last").isNull() | (F.col("_entry") > F.col("last"))
+        )
+        coming = Window.partitionBy("question_id", "_low").orderBy("_entry")
+        found = found.withColumn("_nth", F.row_number().over(coming))
+    else:
+        found = spots.join(ranked, "_low").withColumn("_entry", entry)
     return (
-        spots.join(ranked, "_low").where(F.col("_nth") <= F.col("_times"))
-        .withColumn("_entry", entry)
-        .where(F.col("last").isNull() | (F.col("_entry") > F.col("last")))
+        found.where(F.col("_nth") <= F.col("_times"))
         .groupBy("question_id").agg(F.array_sort(F.collect_set("_entry")).alias("keys"))
     )
 
@@ -127,7 +133,9 @@ def route_questions(questions: DataFrame, keys: DataFrame) -> DataFrame:
     done: DataFrame | None = None
     while True:
         folded = stage(
-            current.join(_candidates(current, keys), "question_id", "left")
+            current.join(
+                _candidates(current, keys, again=done is not None), "question_id", "left"
+            )
             .join(F.broadcast(irregular))  # a single row
             .withColumn("keys", F.coalesce("keys", F.array().cast(f"array<{_KEY}>")))
             .select(
