@@ -81,6 +81,7 @@ def rank_candidates(
     candidates: DataFrame, model: models.Model, top_n: int = rerank.TOP_N, retries: int = 3
 ) -> DataFrame:
     """Model relevance in requests of ten blocks; a failed request rates its blocks 0."""
+    candidates = stage(candidates, "candidates")
     block = F.struct("rank", token_truncate(F.col("text"), RERANK_TOKEN_CAP).alias("text"))
     requests = rerank.with_batches(candidates).groupBy("task_id", "question", "batch_no").agg(
         F.array_sort(F.collect_list(block)).alias("blocks")

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNKS_PER_BLOCK = 20_000
+CHUNKS_PER_BLOCK = 2_000
 QUESTIONS_PER_BLOCK = 256
 SCORE_DIGITS = 6  # ranks use rounded scores, so summation order cannot flip ties
 
@@ -43,13 +43,15 @@ def blocked_topk(
     k: int,
     chunks_per_block: int = CHUNKS_PER_BLOCK,
     questions_per_block: int = QUESTIONS_PER_BLOCK,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """(question_id, route, chunk_id, score, rank) for the k best chunks per question.
 
     Both inputs have ``route``; ``score`` maps a chunk block and a question block
-    to a matrix with one row per question.
+    to a matrix with one row per question.  ``counted`` is a cheaper table with the
+    routes of the same chunks, to take the block counts from.
     """
-    sizes = chunks.groupBy("route").agg(F.count(F.lit(1)).alias("_nc")).join(
+    sizes = (chunks if counted is None else counted).groupBy("route").agg(F.count(F.lit(1)).alias("_nc")).join(
         questions.groupBy("route").agg(F.count(F.lit(1)).alias("_nq")), "route"
     )
     grid = sizes.select(

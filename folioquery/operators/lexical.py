@@ -58,12 +58,12 @@ def term_stats(index: DataFrame) -> DataFrame:
     )
 
 
-def corpus_stats(index: DataFrame) -> DataFrame:
+def corpus_stats(index: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """(route, n_chunks, avgdl, n_terms, mean_idf)."""
     lengths = index.groupBy("route").agg(
         F.count(F.lit(1)).alias("n_chunks"), F.avg("dl").alias("avgdl")
     )
-    terms = term_stats(index).groupBy("route").agg(
+    terms = (term_stats(index) if terms is None else terms).groupBy("route").agg(
         F.count(F.lit(1)).alias("n_terms"), F.avg("idf").alias("mean_idf")
     )
     return lengths.join(terms, "route", "left")
@@ -72,34 +72,37 @@ def corpus_stats(index: DataFrame) -> DataFrame:
 def _score(block: pd.DataFrame, asked: pd.DataFrame) -> np.ndarray:
     sizes = block["terms"].str.len().to_numpy()
     at = np.repeat(np.arange(len(block)), sizes)
-    terms = np.concatenate(block["terms"].to_list()) if sizes.sum() else np.array([], dtype=object)
-    weights = np.concatenate(block["weights"].to_list()) if sizes.sum() else np.array([])
-    codes, names = pd.factorize(terms)
-    order = np.argsort(codes, kind="stable")
-    bounds = np.searchsorted(codes[order], np.arange(len(names) + 1))
-    code_of = {t: i for i, t in enumerate(names)}
+    terms = np.concatenate([*block["terms"], np.array([], dtype="int64")])
+    weights = np.concatenate([*block["weights"], np.array([])])
+    order = np.argsort(terms, kind="stable")
+    terms, at, weights = terms[order], at[order], weights[order]
     scores = np.zeros((len(asked), len(block)))
-    for i, tokens in enumerate(asked["terms"]):
-        for t in tokens:
-            code = code_of.get(t)
-            if code is not None:
-                rows = order[bounds[code]:bounds[code + 1]]
-                scores[i, at[rows]] += weights[rows]
+    for i, wanted in enumerate(asked["terms"]):
+        firsts = np.searchsorted(terms, wanted, side="left")
+        lasts = np.searchsorted(terms, wanted, side="right")
+        for a, b in zip(firsts, lasts):
+            scores[i, at[a:b]] += weights[a:b]
     return scores
 
 
 def bm25_topk(index: DataFrame, questions: DataFrame, k: int = 30, **blocks) -> DataFrame:
-    """Best k chunks per (question, route); chunks that match nothing score 0 and stay eligible."""
-    asked = questions.select("route", "question_id", lexical_tokens(F.col("text")).alias("terms"))
-    stats = corpus_stats(index).select("route", "avgdl", "mean_idf")
-    wanted = asked.select("route", F.explode("terms").alias("term")).distinct()
-    weighted_terms = (
-        term_stats(index).join(wanted, ["route", "term"]).join(stats, "route")
+    """Best k chunks per (question, route); chunks that match nothing score 0 and stay eligible.
+
+    Only the terms that are asked for leave the index, as numbers and weights.
+    """
+    asked = questions.select("route", "question_id", lexical_tokens(F.col("text")).alias("tokens"))
+    vocabulary = stage(term_stats(index), "terms")
+    stats = corpus_stats(index, vocabulary).select("route", "avgdl", "mean_idf")
+    asked_terms = asked.select("route", "question_id", F.explode("tokens").alias("term"))
+    used = stage(
+        vocabulary.join(asked_terms.select("route", "term").distinct(), ["route", "term"])
+        .join(stats, "route")
         .select(
-            "route", "term", "avgdl",
+            "route", "term", "avgdl", F.monotonically_increasing_id().alias("term_id"),
             F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf"))
             .alias("idf"),
-        )
+        ),
+        "asked-terms",
     )
     tf, dl = F.col("p.tf"), F.col("dl")
     weight = F.col("idf") * tf * (K1 + 1) / (
@@ -108,13 +111,19 @@ def bm25_topk(index: DataFrame, questions: DataFrame, k: int = 30, **blocks) ->
     matched = (
         index.select("route", "chunk_id", "dl", F.explode("postings").alias("p"))
         .withColumn("term", F.col("p.term"))
-        .join(weighted_terms, ["route", "term"])
+        .join(used, ["route", "term"])
         .groupBy("route", "chunk_id")
-        .agg(F.collect_list(F.struct("term", weight.alias("w"))).alias("m"))
+        .agg(F.collect_list(F.struct("term_id", weight.alias("w"))).alias("m"))
     )
     chunks = index.select("route", "chunk_id").join(matched, ["route", "chunk_id"], "left").select(
         "route", "chunk_id",
-        F.coalesce("m.term", F.array().cast("array<string>")).alias("terms"),
+        F.coalesce("m.term_id", F.array().cast("array<bigint>")).alias("terms"),
         F.coalesce("m.w", F.array().cast("array<double>")).alias("weights"),
     )
-    return blocked_topk(chunks, asked, _score, k, **blocks)
+    numbered = asked_terms.join(used.select("route", "term", "term_id"), ["route", "term"]).groupBy(
+        "route", "question_id"
+    ).agg(F.array_sort(F.collect_list("term_id")).alias("terms"))
+    wanted = asked.select("route", "question_id").join(
+        numbered, ["route", "question_id"], "left"
+    ).withColumn("terms", F.coalesce("terms", F.array().cast("array<bigint>")))
+    return blocked_topk(chunks, wanted, _score, k, counted=index, **blocks)
