@@ -99,10 +99,12 @@ def rank_candidates(
         requests.withColumn("prompt", prompt), model, ["question", "texts", "prompt"],
         models.check_rankings, retries=retries,
     )
-    rates = F.from_json(
-        "outcome.reply",
-        "struct<block_rankings:array<struct<reasoning:string,relevance_score:double>>>",
-    )["block_rankings"]
+    ratings = "array<struct<reasoning:string,relevance_score:double>>"
+    # Without a reply the list is empty, and every block of the request still gets a row.
+    rates = F.coalesce(
+        F.from_json("outcome.reply", f"struct<block_rankings:{ratings}>")["block_rankings"],
+        F.array().cast(ratings),
+    )
     scores = asked.select(
         "task_id", F.inline(F.arrays_zip(
             F.transform("blocks", lambda b: b["rank"]).alias("rank"),

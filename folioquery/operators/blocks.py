@@ -48,28 +48,28 @@ def blocked_topk(
     """(question_id, route, chunk_id, score, rank) for the k best chunks per question.
 
     Both inputs have ``route``; ``score`` maps a chunk block and a question block
-    to a matrix with one row per question.  ``counted`` is a cheaper table with the
-    routes of the same chunks, to take the block counts from.
+    to a matrix with one row per question.  Chunk ids are integers; a block is a
+    range of them, so chunks find their block without a join.  ``counted`` is a
+    cheaper table with the routes and ids of the same chunks.
     """
-    sizes = (chunks if counted is None else counted).groupBy("route").agg(F.count(F.lit(1)).alias("_nc")).join(
-        questions.groupBy("route").agg(F.count(F.lit(1)).alias("_nq")), "route"
-    )
-    grid = sizes.select(
-        "route",
-        F.ceil(F.col("_nc") / chunks_per_block).alias("_ncb"),
-        F.ceil(F.col("_nq") / questions_per_block).alias("_nqb"),
+    block_of = F.floor(F.col("chunk_id") / chunks_per_block).cast("long")
+    question_blocks = questions.groupBy("route").agg(
+        F.ceil(F.count(F.lit(1)) / questions_per_block).alias("_nqb")
     )
+    chunk_blocks = (chunks if counted is None else counted).select(
+        "route", block_of.alias("_cb")
+    ).distinct()
     left = (
-        chunks.join(grid, "route")
-        .withColumn("_cb", F.pmod(F.xxhash64("chunk_id"), F.col("_ncb")))
+        chunks.join(question_blocks, "route")
+        .withColumn("_cb", block_of)
         .withColumn("_qb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nqb") - 1)))
-        .drop("_ncb", "_nqb")
+        .drop("_nqb")
     )
     right = (
-        questions.join(grid, "route")
+        questions.join(question_blocks, "route")
         .withColumn("_qb", F.pmod(F.xxhash64("question_id"), F.col("_nqb")))
-        .withColumn("_cb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_ncb") - 1)))
-        .drop("_ncb", "_nqb")
+        .join(chunk_blocks, "route")
+        .drop("_nqb")
     )
 
     def best(block: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:

@@ -89,7 +89,10 @@ def usable_pools(pools: DataFrame, indexed: DataFrame) -> DataFrame:
 
 
 def page_order(candidates: DataFrame) -> DataFrame:
-    """Distinct pages of each (question, document) numbered by first appearance."""
+    """Distinct pages of each (question, document) numbered by first appearance.
+
+    ``rank`` is anything that orders; it need not be dense.
+    """
     first = candidates.groupBy("question_id", "doc_id", "page").agg(F.min("rank").alias("_first"))
     order = Window.partitionBy("question_id", "doc_id").orderBy("_first")
     return first.select(

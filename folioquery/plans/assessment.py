@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from folioquery.functions import answers as A
@@ -269,14 +268,12 @@ recall AS (SELECT question_id, k, avg(r) AS recall FROM per_pool GROUP BY 1, 2)"
 def recall_inputs(spark, folder, longest_first=False):
     orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
     lines = table(spark, folder, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
-    by = ["o_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    by = [F.col(c) for c in ("o_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]
     if longest_first:
-        by = [F.desc("l_quantity"), *by]
-    joined = lines.join(orders, "o_orderkey")
-    cands = joined.select(
+        by = [-F.col("l_quantity"), *by]
+    cands = lines.join(orders, "o_orderkey").select(
         F.col("o_custkey").alias("question_id"), (F.col("l_suppkey") % 4).alias("doc_id"),
-        (F.col("l_partkey") % 12).alias("page"),
-        F.row_number().over(Window.partitionBy("o_custkey").orderBy(*by)).alias("rank"),
+        (F.col("l_partkey") % 12).alias("page"), F.struct(*by).alias("rank"),
     )
     refs = F.array(
         F.concat("d1", F.lit(":"), F.col("o_orderkey") % 12),
