@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioquery.functions.answers import is_na, score_answer
+from folioquery.operators import models
 from folioquery.operators.parents import METRIC_CONTEXT_CHARS, keep_prefix
 
 
@@ -163,6 +164,29 @@ def judge_rows(
     )
 
 
+def judge_counts(answers: DataFrame, gold: DataFrame, contexts: DataFrame) -> DataFrame:
+    """How many aligned rows can be rated and how many fall out for which reason."""
+    n = contexts.groupBy("question").agg(F.count(F.lit(1)).alias("_n"))
+    rows = answers.join(gold, "question").join(n, "question", "left")
+    verdict = judge_verdict(F.col("final_answer"), F.col("golds"), F.coalesce("_n", F.lit(0)))
+    return rows.groupBy(verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def rate_answers(
+    rows: DataFrame, judge: models.Model,
+    metrics: Sequence[str] = ("faithfulness", "answer_relevancy", "context_precision"), **calls,
+) -> DataFrame:
+    """Judge metrics of prepared rows; one that could not be computed is null."""
+    asked = models.ask(
+        rows, judge, ["user_input", "retrieved_contexts", "response", "reference"],
+        models.check_object, **calls,
+    )
+    return asked.select(
+        *rows.columns,
+        *[F.get_json_object("outcome.reply", f"$.{m}").try_cast("double").alias(m) for m in metrics],
+    )
+
+
 def metric_means(rated: DataFrame, metrics: Sequence[str]) -> DataFrame:
     """Mean of each metric over the rows where it could be computed."""
     return rated.agg(*[

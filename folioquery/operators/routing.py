@@ -52,8 +52,7 @@ def _candidates(open_questions: DataFrame, keys: DataFrame, again: bool) -> Data
     spots = (
         open_questions.where(F.length("rest") > 0)
         .select("question_id", text.alias("_text"), "last", F.explode(ends).alias("_end"))
-        .join(F.broadcast(lengths))  # a single row
-        .select("question_id", "_text", "last", "_end", F.explode("_lengths").alias("_len"))
+        .select("question_id", "_text", "last", "_end", F.explode(lengths.scalar()).alias("_len"))
         .where(F.col("_len") <= F.col("_end"))
         .select(
             "question_id", "last",
@@ -122,6 +121,8 @@ def route_questions(questions: DataFrame, keys: DataFrame) -> DataFrame:
     could hold a match that the question did not are matched again on that text,
     in rounds, until none is left; there is at most one round per name in a question.
     """
+    if keys.isEmpty():
+        raise ValueError("no report to route to: the metadata and the index have none in common")
     edge = f"^[{WHITESPACE_CLASS}]|[{WHITESPACE_CLASS}]$|[{WHITESPACE_CLASS}]{{2}}"
     irregular = keys.agg(
         F.coalesce(F.bool_or(F.col("key").rlike(edge)), F.lit(False)).alias("_irregular")
@@ -136,8 +137,10 @@ def route_questions(questions: DataFrame, keys: DataFrame) -> DataFrame:
             current.join(
                 _candidates(current, keys, again=done is not None), "question_id", "left"
             )
-            .join(F.broadcast(irregular))  # a single row
-            .withColumn("keys", F.coalesce("keys", F.array().cast(f"array<{_KEY}>")))
+            .withColumns({
+                "keys": F.coalesce("keys", F.array().cast(f"array<{_KEY}>")),
+                "_irregular": irregular.scalar(),
+            })
             .select(
                 "question_id",
                 _consume(F.col("rest"), F.col("hits"), F.col("keys"), F.col("_irregular"))

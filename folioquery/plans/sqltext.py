@@ -170,7 +170,7 @@ ser AS (
     CASE WHEN caption_raw <> '' THEN array_to_string(list_filter(string_split(
       regexp_replace(html, '</?t[a-z]+>', '', 'g'), '. '), lambda x: length(x) > 0), {NL}) END AS blocks,
     html, caption_raw
-  FROM (SELECT n.*, e.text AS caption_raw FROM normal n JOIN elements e USING (doc_id, idx)
+  FROM (SELECT n.* , e.text AS caption_raw FROM normal n JOIN elements e USING (doc_id, idx)
         WHERE n.type = 'table')
 ),
 units AS (

@@ -159,6 +159,19 @@ def report_chunks(spark, folder):
     return document_chunks(spark, folder)[0].drop("img")
 
 
+_SERIALIZED_BODY = S.CHUNKS[S.CHUNKS.index("    CASE WHEN blocks <> ''"):S.CHUNKS.index(" AS unit, table_id")]
+_HTML_BODY = f"""
+    CASE WHEN caption_raw <> '' THEN 'Table: ' || caption_raw || {S.NL} ELSE '' END || html"""
+
+
+@query("report_chunks_html", f"""
+WITH {S.CHUNKS.replace(_SERIALIZED_BODY, _HTML_BODY)}
+SELECT doc_id, chunk_id, type, page, text, els_start, els_end, table_id, length_tokens FROM chunks""")
+def report_chunks_html(spark, folder):
+    """The other arm of the table comparison: tables as HTML."""
+    return document_chunks(spark, folder, "html")[0].drop("img")
+
+
 @query("page_texts", f"""
 WITH {S.CHUNKS} SELECT doc_id, page, text FROM page_texts""")
 def page_texts(spark, folder):

@@ -278,3 +278,48 @@ def test_html_reader():
 def test_derived_rules_cover_every_element_type(spark):
     types = {r.type for r in derived.report_elements(spark, "/root/testdata/sf0.001").select("type").distinct().collect()}
     assert types == {"heading", "paragraph", "table", "picture", "equation"}
+
+
+class FailsOn:
+    def __init__(self, word):
+        self.word, self.good = word, models.HashingEmbedder(8)
+
+    def embed(self, texts):
+        if any(self.word in t for t in texts):
+            raise RuntimeError("refused")
+        return self.good.embed(texts)
+
+
+def test_index_resumes_and_rebuilds(spark, tmp_path):
+    from folioquery.operators import lexical
+    from folioquery.operators.indexing import read_index, update_index
+
+    rows = [("a", 0, "one two"), ("a", 1, "two three"), ("b", 0, "bad words"), ("c", 0, "x"), ("c", 2, "y")]
+    chunks = spark.createDataFrame(rows, "doc_id string, chunk_id long, text string") \
+        .withColumn("length_tokens", F.lit(2))
+    path = str(tmp_path / "index")
+    status = {r.doc_id: r.status for r in update_index(chunks, path, FailsOn("bad"), "m1").collect()}
+    assert status == {"a": "indexed", "b": "failed", "c": "failed"}
+    status = {r.doc_id: r.status for r in update_index(chunks, path, FailsOn("none"), "m2").collect()}
+    assert status == {"a": "skipped", "b": "indexed", "c": "failed"}
+    update_index(chunks.where("doc_id = 'a'"), path, FailsOn("none"), "m3", force=True)
+    index, vectors, meta = read_index(spark, path)
+    assert {(r.doc_id, r.n_chunks, r.dims, r.model) for r in meta.collect()} == {("a", 2, 8, "m3"), ("b", 1, 8, "m2")}
+    assert vectors.count() == 3 and index.count() == 3
+    asked = spark.createDataFrame([("a", 1, "three")], "route string, question_id int, text string")
+    assert {r.chunk_id for r in lexical.bm25_topk(index, asked, 5).collect()} == {0, 1}
+
+
+class Judge:
+    def reply(self, request):
+        return json.dumps({"faithfulness": 0.5, "answer_relevancy": None, "context_precision": 1})
+
+
+def test_judge_metrics(spark):
+    from folioquery.operators import evaluation
+
+    rows = spark.createDataFrame([("q", ["c"], "r", "g")],
+                                 "user_input string, retrieved_contexts array<string>, response string, reference string")
+    rated = evaluation.rate_answers(rows, Judge())
+    names = ["faithfulness", "answer_relevancy", "context_precision"]
+    assert tuple(evaluation.metric_means(rated, names).first()) == (0.5, None, 1.0)
