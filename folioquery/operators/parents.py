@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from folioquery.functions.text import heading_markdown, normalize_text, truthy
 from folioquery.operators.ordered import SEGMENT, running_sums, segment_of
+from folioquery.sources.tables import stage
 
 MAX_CONTEXT_CHARS = 60_000
 METRIC_CONTEXT_CHARS = 16_000
@@ -132,7 +133,9 @@ def window_texts(
     """
     group = [*keys, "doc_id"]
     span = [*group, "window", "span_start", "span_end"]
-    spans = merged_spans(candidates, keys, halving(window))
+    # Both are read for the sizes and again for the texts.
+    spans = stage(merged_spans(candidates, keys, halving(window)), "spans")
+    parts = stage(parts, "parts")
     lengths = parts.select("doc_id", "idx", F.length("part").alias("_len"))
     sizes = rows_in_spans(spans, lengths).groupBy(*span).agg(
         (F.sum("_len") + 2 * (F.count(F.lit(1)) - 1)).alias("_chars")

@@ -12,7 +12,17 @@ from folioquery.plans.registry import query
 from folioquery.plans.structure import document_chunks
 from folioquery.sources.tables import table
 
-CORPUS = "corpus"
+
+def corpus(name):
+    """All sources form one corpus, called by the prefix their names share.
+
+    A value computed from a column, so that joins on it stay equality joins.
+    """
+    return F.left(name, F.lit(3))
+
+
+def corpus_of_id(column):
+    return corpus(F.concat(F.lit("src"), F.col(column)))
 
 # ---- lexical ---------------------------------------------------------------------
 
@@ -79,14 +89,14 @@ hybrid AS (
 
 def lexical_corpus(spark, folder, route=None):
     return table(spark, folder, "documents").select(
-        (F.lit(CORPUS) if route is None else F.col(route)).alias("route"),
+        (corpus(F.col("source")) if route is None else F.col(route)).alias("route"),
         F.col("doc_id").alias("chunk_id"), "text",
     )
 
 
 def asked_questions(spark, folder):
     return table(spark, folder, "benchmark").select(
-        F.lit(CORPUS).alias("route"), F.col("item_id").alias("question_id"), "text"
+        corpus_of_id("item_id").alias("route"), F.col("item_id").alias("question_id"), "text"
     )
 
 
@@ -129,7 +139,7 @@ def bm25_topk(spark, folder):
 
 def cosine_hits(spark, folder):
     vectors_ = table(spark, folder, "embeddings").select(
-        F.lit(CORPUS).alias("route"), F.col("vec_id").alias("chunk_id"), "embedding"
+        corpus_of_id("vec_id").alias("route"), F.col("vec_id").alias("chunk_id"), "embedding"
     )
     question_vectors = table(spark, folder, "embeddings").select(
         F.col("vec_id").alias("question_id"), "embedding"
