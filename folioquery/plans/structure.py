@@ -11,7 +11,7 @@ from folioquery.operators import elements as E
 from folioquery.plans import derived as D
 from folioquery.plans import sqltext as S
 from folioquery.plans.registry import query
-from folioquery.sources.tables import table
+from folioquery.sources.tables import stage, table
 
 PAGES_OF_LINES = f"""
 {S.LINES},
@@ -147,8 +147,13 @@ def heading_breadcrumbs(spark, folder):
     return C.heading_breadcrumbs(D.report_elements(spark, folder))
 
 
+def parsed_elements(spark, folder):
+    """The elements as a stage table: chunks, units and tables all read them."""
+    return stage(D.with_readings(D.report_elements(spark, folder)), "elements")
+
+
 def document_chunks(spark, folder, table_source="serialized"):
-    elements = D.with_readings(D.report_elements(spark, folder))
+    elements = parsed_elements(spark, folder)
     return C.split_documents(elements, D.serialized_tables(elements), table_source=table_source)
 
 
@@ -179,7 +184,7 @@ def page_texts(spark, folder):
 
 
 def document_chunks_pages(spark, folder):
-    elements = D.with_readings(D.report_elements(spark, folder))
+    elements = parsed_elements(spark, folder)
     return C.page_texts(elements, C.unit_bodies(elements, D.serialized_tables(elements)))
 
 
