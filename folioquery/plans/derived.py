@@ -1,8 +1,11 @@
 """Reports, elements and questions derived from the supplied tables.
 
 A document is read as a report: every line is one layout-parser entry, typed by
-its length, six lines to a page.  The rules are stated once here and once as SQL
-so both engines see the same rows.
+its length, six lines to a page.  Lengths give every element type, and one class of
+them stands for the running headers a parser marks as discarded, so that the
+element conversion has something to drop.  No document and no line is left out
+of what the operators read.  The rules are stated once here and once as SQL so
+both engines see the same rows.
 """
 
 from __future__ import annotations
