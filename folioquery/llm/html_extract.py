@@ -263,11 +263,11 @@ def main_text(dom: Dom, kept: np.ndarray) -> str:
 # --- training -------------------------------------------------------------
 
 BINS = 32
-TREES = 80
+TREES = 120
 DEPTH = 4
 RATE = 0.2
 L2 = 3.0
-TRAINING_PAGES = 500
+TRAINING_PAGES = 1500
 SEED = 5
 
 #: Attribute words of the kinds of boxes the training pages are formed of.
