@@ -210,7 +210,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sets, pa.binary())], [*part.schema.names, "shingles"])
                 at += len(texts)
 
-    texts = docs.select("doc_id", "text").join(placed, F.col("doc_id") == F.col("rep")).select(
+    # the members grow with the corpus: they are never broadcast, whatever their number
+    texts = docs.select("doc_id", "text").join(placed.hint("merge"), F.col("doc_id") == F.col("rep")).select(
         "rep", "cluster", "blocks", "block", "text"
     ).mapInArrow(shingled, "rep long, cluster long, blocks int, block int, shingles binary")
     paired = texts.select(
