@@ -17,7 +17,7 @@ __all__ = ["HashCache", "grouped", "held_out", "read", "slices", "stage", "text_
 #: Rows that are turned into Python objects at a time inside a task.
 SLICE_ROWS = 256
 #: Distinct words whose hashes a worker keeps.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -87,12 +87,14 @@ def mix(
     """The documents with mix_tokens, mix_topic, mix_probability and mix_kept."""
     targets = targets or TARGETS
     spark = docs.sparkSession
-    marked = docs.join(topic, docs["doc_id"] == topic["topic_id"], "left").drop("topic_id")
+    # tokens are counted before the join, so that a caller who drops the text does not move it
+    counted_docs = docs.withColumn("mix_tokens", tokens(F.col("text")))
+    marked = counted_docs.join(topic, counted_docs["doc_id"] == topic["topic_id"], "left").drop("topic_id")
     values = {"source": F.col("source"), "lang": F.col("lang"), "topic": F.col("topic_value")}
     for name, column in values.items():
         known = column.isin(list(targets[name]))
         marked = marked.withColumn(f"mix_{name}", F.when(known, column).otherwise(OTHER))
-    marked = marked.drop("topic_value").withColumn("mix_tokens", tokens(F.col("text")))
+    marked = marked.drop("topic_value")
     cell = [f"mix_{name}" for name in values]
     counted = marked.groupBy(*cell).agg(F.sum("mix_tokens").alias("n")).collect()
     chance = rake({tuple(r[:3]): r["n"] for r in counted}, {k: targets[k] for k in values}, fraction)
