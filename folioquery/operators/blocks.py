@@ -1,8 +1,10 @@
 """Exact top-k of questions against the chunks of their route, block by block.
 
-Chunks and questions of a route are cut into blocks of bounded size, whatever the
-size of the route.  A block pair is scored in one task, which emits only the best
-k chunks of each question; the final cut merges those.
+Chunks and questions of a route are dealt into blocks of bounded size, as many as the
+route's counts ask for, whatever its size and whatever its ids look like.  A block pair
+is scored in one task, which emits only the best k chunks of each question; the final
+cut merges those.  Facts about a route reach its rows by a salted join, so a route with
+most of the rows is spread over many tasks.
 """
 
 from __future__ import annotations
@@ -11,16 +13,25 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNKS_PER_BLOCK = 2_000
 QUESTIONS_PER_BLOCK = 256
 SCORE_DIGITS = 6  # ranks use rounded scores, so summation order cannot flip ties
 
+SALTS = 64  # keys that the rows of a route are spread over when they meet a fact about it
+
 _PAIR = ["route", "_cb", "_qb"]
 
 
+def with_route_facts(rows: DataFrame, facts: DataFrame, spread_by: str) -> DataFrame:
+    """Join one row per route to the many rows of it; rows without one go."""
+    copies = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int")
+    return rows.withColumn("_salt", salt).join(copies, ["route", "_salt"]).drop("_salt")
+
+
 def top_of_block(scores: np.ndarray, chunk_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, column) positions of the k best per row; equal scores by chunk id."""
     rows, cols = [], []
@@ -48,29 +59,28 @@ def blocked_topk(
     """(question_id, route, chunk_id, score, rank) for the k best chunks per question.
 
     Both inputs have ``route``; ``score`` maps a chunk block and a question block
-    to a matrix with one row per question.  Chunk ids are integers; a block is a
-    range of them, so chunks find their block without a join.  ``counted`` is a
-    cheaper table with the routes and ids of the same chunks.
+    to a matrix with one row per question.  ``counted`` is a cheaper table with the
+    routes of the same chunks.
     """
-    block_of = F.floor(F.col("chunk_id") / chunks_per_block).cast("long")
-    question_blocks = questions.groupBy("route").agg(
-        F.ceil(F.count(F.lit(1)) / questions_per_block).alias("_nqb")
-    )
-    chunk_blocks = (chunks if counted is None else counted).select(
-        "route", block_of.alias("_cb")
-    ).distinct()
-    left = (
-        chunks.join(question_blocks, "route")
-        .withColumn("_cb", block_of)
-        .withColumn("_qb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nqb") - 1)))
-        .drop("_nqb")
-    )
-    right = (
-        questions.join(question_blocks, "route")
-        .withColumn("_qb", F.pmod(F.xxhash64("question_id"), F.col("_nqb")))
-        .join(chunk_blocks, "route")
-        .drop("_nqb")
-    )
+    both = (chunks if counted is None else counted).select(
+        "route", F.lit(1).alias("c"), F.lit(0).alias("q")
+    ).unionByName(questions.select("route", F.lit(0).alias("c"), F.lit(1).alias("q")))
+    facts = both.groupBy("route").agg(
+        F.ceil(F.sum("c") / chunks_per_block).alias("_ncb"), F.ceil(F.sum("q") / questions_per_block).alias("_nqb")
+    ).where((F.col("_ncb") > 0) & (F.col("_nqb") > 0))
+
+    def dealt(key: str, blocks: str) -> Column:
+        return F.pmod(F.xxhash64(key, F.lit(blocks)), F.col(blocks))
+
+    def every(blocks: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1))
+
+    left = with_route_facts(chunks, facts, "chunk_id").withColumn("_cb", dealt("chunk_id", "_ncb")).withColumn(
+        "_qb", every("_nqb")
+    ).drop("_ncb", "_nqb")
+    right = with_route_facts(questions, facts, "question_id").withColumn(
+        "_qb", dealt("question_id", "_nqb")
+    ).withColumn("_cb", every("_ncb")).drop("_ncb", "_nqb")
 
     def best(block: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if block.empty or asked.empty:

@@ -89,10 +89,13 @@ def document_stats(elements: DataFrame) -> DataFrame:
 
 
 def attach_company(docs: DataFrame, metadata: DataFrame) -> DataFrame:
-    """Left lookup of the company and fingerprint by file name; unknown files stay."""
-    lookup = metadata.select(
-        basename(F.col("filename")).alias("_file"), "company"
-    ).dropDuplicates(["_file"])
+    """Left lookup of the company by file name; of rows that name one file the last counts, unknown files stay.
+
+    ``metadata`` has filename, company and csv_ord, its row order.
+    """
+    lookup = metadata.groupBy(basename(F.col("filename")).alias("_file")).agg(
+        F.max_by("company", "csv_ord").alias("company")
+    )
     return (
         docs.withColumn("_file", basename(F.col("source_pdf")))
         .join(lookup, "_file", "left")

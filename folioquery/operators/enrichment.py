@@ -228,13 +228,15 @@ def transform_counts(chunks: DataFrame) -> DataFrame:
 
 
 def embed_chunks(
-    chunks: DataFrame, embedder, batch_size: int = 32, budget: int = 3200, retries: int = 3
+    chunks: DataFrame, embedder, batch_size: int = 32, budget: int = 3200, retries: int = 3,
+    dims: int | None = None,
 ) -> DataFrame:
     """Unit vectors of the chunks, one model call per packed batch.
 
     Long texts are cut for the model only.  A batch whose reply has the wrong
     number or size of vectors is tried again; after the last try its rows carry the
-    error and no vector.
+    error and no vector.  ``dims`` is the size every vector must have; without it,
+    ``embedded_documents`` refuses documents whose vectors differ from most.
     """
     capped = chunks.select(
         "doc_id", "chunk_id", token_truncate(F.col("text"), EMBED_TOKEN_CAP).alias("_text"),
@@ -256,8 +258,9 @@ def embed_chunks(
         for _ in range(retries):
             try:
                 got = [v for _, v in sorted(embedder.embed(texts), key=lambda p: p[0])]
-                if len(got) != len(texts) or len({len(v) for v in got}) != 1:
-                    raise ValueError(f"{len(got)} vectors for {len(texts)} texts")
+                sizes = {len(v) for v in got}
+                if len(got) != len(texts) or len(sizes) != 1 or dims not in (None, *sizes):
+                    raise ValueError(f"{len(got)} vectors of sizes {sorted(sizes)} for {len(texts)} texts")
                 return got, None
             except Exception as e:  # noqa: BLE001 - tried again, then reported with the rows
                 problem = f"{type(e).__name__}: {e}"
@@ -288,11 +291,16 @@ def embed_chunks(
 def embedded_documents(embeddings: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(vectors of complete documents, failed documents with a reason).
 
-    One failed batch leaves its whole document out of the index.
+    One failed batch leaves its whole document out of the index, and so does a vector
+    whose size is not the index's commonest (the larger of equally common ones).
     """
-    failed = embeddings.where(F.col("error").isNotNull()).groupBy("doc_id").agg(
-        F.min("error").alias("error")
-    )
+    size = F.size("embedding")
+    sizes = embeddings.where(F.col("error").isNull()).groupBy(size.alias("dims")).agg(F.count("*").alias("n"))
+    usual = sizes.agg(F.max_by("dims", F.struct("n", "dims"))).scalar()
+    odd = F.concat(F.lit("ValueError: a vector of size "), size.cast("string"))
+    failed = embeddings.withColumn(
+        "error", F.coalesce("error", F.when(size != usual, odd))
+    ).where(F.col("error").isNotNull()).groupBy("doc_id").agg(F.min("error").alias("error"))
     return embeddings.join(failed.select("doc_id"), "doc_id", "left_anti").drop("error"), failed
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioquery.functions.text import lexical_tokens
-from folioquery.operators.blocks import blocked_topk
+from folioquery.operators.blocks import blocked_topk, with_route_facts
 from folioquery.sources.tables import stage
 
 K1 = 1.5
@@ -52,7 +52,7 @@ def term_stats(index: DataFrame) -> DataFrame:
         "route", "term"
     ).agg(F.count(F.lit(1)).alias("df"))
     n = index.groupBy("route").agg(F.count(F.lit(1)).alias("n_chunks"))
-    return df.join(n, "route").select(
+    return with_route_facts(df, n, "term").select(
         "route", "term", "df",
         (F.log(F.col("n_chunks") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"),
     )
@@ -95,8 +95,9 @@ def bm25_topk(index: DataFrame, questions: DataFrame, k: int = 30, **blocks) ->
     stats = corpus_stats(index, vocabulary).select("route", "avgdl", "mean_idf")
     asked_terms = asked.select("route", "question_id", F.explode("tokens").alias("term"))
     used = stage(
-        vocabulary.join(asked_terms.select("route", "term").distinct(), ["route", "term"])
-        .join(stats, "route")
+        with_route_facts(
+            vocabulary.join(asked_terms.select("route", "term").distinct(), ["route", "term"]), stats, "term"
+        )
         .select(
             "route", "term", "avgdl", F.monotonically_increasing_id().alias("term_id"),
             F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf"))

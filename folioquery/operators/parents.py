@@ -25,9 +25,11 @@ def parent_pages(candidates: DataFrame, pages: DataFrame, keys: Sequence[str]) -
     group = [*keys, "doc_id"]
     first = candidates.groupBy(*group, "page").agg(F.min("rank").alias("_first"))
     order = Window.partitionBy(*group).orderBy("_first")
+    texts = pages.select(F.col("doc_id").alias("_doc"), F.col("page").alias("_page"), "text")
+    # entries without a page form one page of their own
     return (
         first.withColumn("page_rank", F.row_number().over(order))
-        .join(pages.select("doc_id", "page", "text"), ["doc_id", "page"])
+        .join(texts, (F.col("doc_id") == F.col("_doc")) & F.col("page").eqNullSafe(F.col("_page")))
         .select(*group, "page", "page_rank", "text")
     )
 

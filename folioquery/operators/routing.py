@@ -41,10 +41,17 @@ def _pattern(key: Column) -> Column:
     return F.concat(F.lit("(?iU)\\Q"), quoted, F.lit("\\E(?:\\W|$)"))
 
 
+def _fold(text: Column) -> Column:
+    """Lower case of the same length: letters whose lower case is longer stay as they are."""
+    low = F.lower(text)
+    letters = F.transform(F.split(text, ""), lambda c: F.when(F.length(F.lower(c)) == F.length(c), F.lower(c)).otherwise(c))
+    return F.when(F.length(low) == F.length(text), low).otherwise(F.array_join(letters, ""))
+
+
 def _candidates(open_questions: DataFrame, keys: DataFrame, again: bool) -> DataFrame:
     """Keys that occur in the remaining text, in consuming order, per question."""
     lengths = keys.agg(F.collect_set(F.length("key")).alias("_lengths"))
-    text = F.lower("rest")
+    text = _fold(F.col("rest"))
     ends = F.filter(
         F.sequence(F.lit(1), F.length("rest")),
         lambda p: (p == F.length("rest")) | F.substring(F.col("rest"), p + 1, 1).rlike(r"(?U)\W"),
@@ -62,7 +69,7 @@ def _candidates(open_questions: DataFrame, keys: DataFrame, again: bool) -> Data
         .groupBy("question_id", "last", "_low").agg(F.count(F.lit(1)).alias("_times"))
     )
     same_key = Window.partitionBy("_low").orderBy("csv_ord", "key_ord")
-    ranked = keys.withColumn("_low", F.lower("key")).withColumn(
+    ranked = keys.withColumn("_low", _fold(F.col("key"))).withColumn(
         "_nth", F.row_number().over(same_key)
     )
     entry = F.struct(

@@ -13,40 +13,45 @@ from folioquery.plans.structure import document_chunks
 from folioquery.sources.tables import table
 
 
-def corpus(name):
-    """All sources form one corpus, called by the prefix their names share.
+SOURCES = 20  # a question is asked of one source, as a routed question is of one report
 
-    A value computed from a column, so that joins on it stay equality joins.
-    """
-    return F.left(name, F.lit(3))
 
+def route_of_id(column):
+    return F.concat(F.lit("src"), F.col(column) % SOURCES)
 
-def corpus_of_id(column):
-    return corpus(F.concat(F.lit("src"), F.col(column)))
 
 # ---- lexical ---------------------------------------------------------------------
 
 LEXICAL_STATS = f"""
 toks AS (SELECT doc_id, source, {S.lexical('text')} AS t FROM documents),
-tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM toks) GROUP BY 1, 2),
-df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-size AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM toks),
-idf AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM df, size)"""
+tf AS (
+  SELECT source, doc_id, term, count(*) AS tf FROM (SELECT source, doc_id, unnest(t) AS term FROM toks)
+  GROUP BY 1, 2, 3
+),
+df AS (SELECT source, term, count(*) AS df FROM tf GROUP BY 1, 2),
+size AS (SELECT source, count(*) AS n, avg(len(t)) AS avgdl FROM toks GROUP BY 1),
+idf AS (SELECT source, term, df, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM df JOIN size USING (source))"""
 
 BM25_HITS = LEXICAL_STATS + f""",
+mean_idf AS (SELECT source, avg(idf) AS mean_idf FROM idf GROUP BY 1),
 used AS (
-  SELECT term, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM idf) ELSE idf END AS idf FROM idf
+  SELECT source, term, CASE WHEN idf < 0 THEN 0.25 * mean_idf ELSE idf END AS idf
+  FROM idf JOIN mean_idf USING (source)
+),
+asked AS (
+  SELECT item_id AS question_id, 'src' || (item_id % {SOURCES}) AS source, unnest({S.lexical('text')}) AS term
+  FROM benchmark
 ),
-asked AS (SELECT item_id AS question_id, unnest({S.lexical('text')}) AS term FROM benchmark),
 partial AS (
   SELECT a.question_id, tf.doc_id,
     sum(u.idf * tf.tf * 2.5 / (tf.tf + 1.5 * (0.25 + 0.75 * len(k.t) / s.avgdl))) AS score
-  FROM asked a JOIN tf USING (term) JOIN used u USING (term) JOIN toks k ON k.doc_id = tf.doc_id, size s
+  FROM asked a JOIN tf USING (source, term) JOIN used u USING (source, term)
+  JOIN toks k ON k.doc_id = tf.doc_id JOIN size s USING (source)
   GROUP BY 1, 2
 ),
 bm25_all AS (
   SELECT b.item_id AS question_id, d.doc_id AS chunk_id, round(coalesce(p.score, 0), 6) AS score
-  FROM benchmark b CROSS JOIN documents d
+  FROM benchmark b JOIN documents d ON d.source = 'src' || (b.item_id % {SOURCES})
   LEFT JOIN partial p ON p.question_id = b.item_id AND p.doc_id = d.doc_id
 ),
 bm25 AS (
@@ -54,11 +59,12 @@ bm25 AS (
     AS rank FROM bm25_all) WHERE rank <= 30
 )"""
 
-COSINE_HITS = """
+COSINE_HITS = f"""
 cosine_all AS (
   SELECT q.vec_id AS question_id, c.vec_id AS chunk_id,
     round(list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS score
-  FROM embeddings q JOIN benchmark b ON b.item_id = q.vec_id CROSS JOIN embeddings c
+  FROM embeddings q JOIN benchmark b ON b.item_id = q.vec_id
+  JOIN embeddings c ON c.vec_id % {SOURCES} = b.item_id % {SOURCES}
 ),
 cosine AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id)
@@ -87,24 +93,23 @@ hybrid AS (
 )"""
 
 
-def lexical_corpus(spark, folder, route=None):
+def lexical_corpus(spark, folder):
     return table(spark, folder, "documents").select(
-        (corpus(F.col("source")) if route is None else F.col(route)).alias("route"),
-        F.col("doc_id").alias("chunk_id"), "text",
+        F.col("source").alias("route"), F.col("doc_id").alias("chunk_id"), "text"
     )
 
 
 def asked_questions(spark, folder):
     return table(spark, folder, "benchmark").select(
-        corpus_of_id("item_id").alias("route"), F.col("item_id").alias("question_id"), "text"
+        route_of_id("item_id").alias("route"), F.col("item_id").alias("question_id"), "text"
     )
 
 
 @query("bm25_term_stats", f"""
-WITH {LEXICAL_STATS} SELECT term, df, round(idf, 6) AS idf FROM idf""")
+WITH {LEXICAL_STATS} SELECT source, term, df, round(idf, 6) AS idf FROM idf""")
 def bm25_term_stats(spark, folder):
     stats = lexical.term_stats(lexical.build_index(lexical_corpus(spark, folder)))
-    return stats.select("term", "df", F.round("idf", 6).alias("idf"))
+    return stats.select(F.col("route").alias("source"), "term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("bm25_source_stats", f"""
@@ -117,7 +122,7 @@ SELECT source, n AS n_chunks, round(any_value(avgdl), 6) AS avgdl, count(*) AS n
 FROM df JOIN size USING (source) GROUP BY source, n""")
 def bm25_source_stats(spark, folder):
     """Index statistics with every source as one indexed report."""
-    stats = lexical.corpus_stats(lexical.build_index(lexical_corpus(spark, folder, "source")))
+    stats = lexical.corpus_stats(lexical.build_index(lexical_corpus(spark, folder)))
     return stats.select(
         F.col("route").alias("source"), "n_chunks", F.round("avgdl", 6).alias("avgdl"), "n_terms",
         F.round("mean_idf", 6).alias("mean_idf"),
@@ -139,7 +144,7 @@ def bm25_topk(spark, folder):
 
 def cosine_hits(spark, folder):
     vectors_ = table(spark, folder, "embeddings").select(
-        corpus_of_id("vec_id").alias("route"), F.col("vec_id").alias("chunk_id"), "embedding"
+        route_of_id("vec_id").alias("route"), F.col("vec_id").alias("chunk_id"), "embedding"
     )
     question_vectors = table(spark, folder, "embeddings").select(
         F.col("vec_id").alias("question_id"), "embedding"
@@ -296,10 +301,10 @@ cands AS (
 PARTS = f""",
 parts AS (
   SELECT n.doc_id, n.idx,
-    CASE WHEN n.type = 'table' THEN CASE WHEN e.text = '' THEN coalesce(nullif(n.text, ''), '[table]')
-           ELSE array_to_string(list_filter(string_split(
-             regexp_replace(n.html, '</?t[a-z]+>', '', 'g'), '. '), lambda x: length(x) > 0), {S.NL}) END
-         WHEN n.type = 'picture' AND length(e.text) >= 20 THEN 'Reading of ' || e.text
+    CASE WHEN n.type = 'table' THEN coalesce(array_to_string(list_filter(string_split(
+             regexp_replace(n.html, '</?t[a-z]+>', '', 'g'), '. '), lambda x: length(x) > 0), {S.NL}),
+             nullif(n.text, ''), '[table]')
+         WHEN n.type = 'picture' AND length(e.text) % 2 = 0 THEN 'Reading of ' || e.text
          WHEN n.type = 'heading' AND n.text <> '' THEN repeat('#', least(n.level, 4)) || ' ' || n.text
          ELSE nullif(n.text, '') END AS part
   FROM normal n JOIN elements e USING (doc_id, idx)

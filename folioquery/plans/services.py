@@ -133,13 +133,13 @@ def table_blocks(spark, folder):
 
 @query("picture_readings", f"""
 WITH {S.ELEMENTS}
-SELECT doc_id, idx, CASE WHEN length(text) >= 20 THEN 'bar_chart' ELSE 'logo' END AS type,
-  CASE WHEN length(text) >= 20 THEN 'HAS_DATA' ELSE 'NO_DATA' END AS data,
-  CASE WHEN length(text) >= 20 THEN 'Values of ' || text ELSE '' END AS text
+SELECT doc_id, idx, CASE WHEN length(text) % 2 = 0 THEN 'bar_chart' ELSE 'logo' END AS type,
+  CASE WHEN length(text) % 2 = 0 THEN 'HAS_DATA' ELSE 'NO_DATA' END AS data,
+  CASE WHEN length(text) % 2 = 0 THEN 'Values of ' || text ELSE '' END AS text
 FROM elements WHERE type = 'picture'""")
 def picture_readings(spark, folder):
     """Classification of all pictures, reading of those that carry data."""
-    long_caption = F.length("text") >= 20
+    long_caption = F.length("text") % 2 == 0
     image = F.concat(
         F.when(long_caption, "TYPE: **Bar_Chart\nDATA: has_data").otherwise("type: logo\nDATA: none"),
         F.lit("|Values of "), F.col("text"),
@@ -198,8 +198,8 @@ cut AS (
 ),
 asked_words AS (SELECT item_id AS question_id, list_distinct({S.lexical('text')}) AS w FROM benchmark),
 rated AS (
-  SELECT h.*, floor(len(list_intersect(a.w, {S.lexical('c.text')})) / len(a.w)::DOUBLE * 10 + 0.5) / 10 AS rel
-  FROM hybrid h JOIN asked_words a USING (question_id) JOIN cut c ON c.doc_id = h.chunk_id
+  SELECT h.*, floor(len(list_intersect(a.w, {S.lexical("coalesce(c.text, '')")})) / len(a.w)::DOUBLE * 10 + 0.5) / 10 AS rel
+  FROM hybrid h JOIN asked_words a USING (question_id) LEFT JOIN cut c ON c.doc_id = h.chunk_id
 ),
 mixed AS (
   SELECT *, round(0.7::DECIMAL(2, 1) * rel::DECIMAL(7, 6) + 0.3::DECIMAL(2, 1) * score::DECIMAL(7, 4), 4)::DOUBLE
@@ -214,7 +214,10 @@ def model_rerank(spark, folder):
     questions = table(spark, folder, "benchmark").select(
         F.col("item_id").alias("question_id"), F.col("text").alias("question")
     )
-    cands = hybrid_hits(spark, folder).join(texts, "chunk_id").join(questions, "question_id")
+    # a vector without a document stays a candidate, with an empty text
+    cands = hybrid_hits(spark, folder).join(texts, "chunk_id", "left").withColumn(
+        "text", F.coalesce("text", F.lit(""))
+    ).join(questions, "question_id")
     ranked = answering.rank_candidates(
         cands.withColumnRenamed("question_id", "task_id"), models.OverlapRanker()
     )

@@ -56,7 +56,7 @@ lines AS (
 ENTRIES = LINES + f""",
 entries AS (
   SELECT *, CASE WHEN n <= 40 THEN 'text' WHEN n % 11 = 4 THEN 'table' WHEN n % 11 = 7 THEN 'image'
-                 WHEN n % 11 = 9 THEN 'equation' WHEN n % 11 = 10 THEN 'discarded' ELSE 'text' END
+                 WHEN n % 11 = 9 THEN 'equation' ELSE 'text' END
             AS rtype,
          CASE WHEN n <= 14 THEN 1 WHEN n <= 27 THEN 2 WHEN n <= 40 THEN 3 END AS tlevel,
          seq // {LINES_PER_PAGE} AS page_idx
@@ -70,10 +70,9 @@ kept AS (
       CASE WHEN rtype = 'text' AND tlevel IS NOT NULL THEN 'heading' WHEN rtype = 'text' THEN 'paragraph'
            WHEN rtype = 'image' THEN 'picture' ELSE rtype END AS type,
       CASE WHEN rtype = 'table' THEN {strip("substr(line, 1, 12) || ' ' || substr(line, 13, 12)")}
-           WHEN rtype = 'image' THEN {strip('substr(line, 1, 30)')}
            ELSE {strip('line')} END AS text,
       CASE WHEN rtype = 'text' THEN coalesce(tlevel, 0) ELSE 0 END AS level
-    FROM entries WHERE rtype <> 'discarded')
+    FROM entries)
   WHERE type IN ('table', 'picture') OR text <> ''
 ),
 elements AS (
@@ -167,8 +166,8 @@ bodies AS (
 ),
 ser AS (
   SELECT doc_id, idx, page, table_id, text AS caption,
-    CASE WHEN caption_raw <> '' THEN array_to_string(list_filter(string_split(
-      regexp_replace(html, '</?t[a-z]+>', '', 'g'), '. '), lambda x: length(x) > 0), {NL}) END AS blocks,
+    array_to_string(list_filter(string_split(
+      regexp_replace(html, '</?t[a-z]+>', '', 'g'), '. '), lambda x: length(x) > 0), {NL}) AS blocks,
     html, caption_raw
   FROM (SELECT n.* , e.text AS caption_raw FROM normal n JOIN elements e USING (doc_id, idx)
         WHERE n.type = 'table')
@@ -181,7 +180,7 @@ units AS (
   FROM ser
   UNION ALL
   SELECT e.doc_id, e.idx, e.page, 'serialized_image', 'Reading of ' || e.text, NULL::VARCHAR
-  FROM elements e WHERE e.type = 'picture' AND length(e.text) >= 20
+  FROM elements e WHERE e.type = 'picture' AND length(e.text) % 2 = 0
 ),
 raw_chunks AS (
   SELECT p.doc_id, 'content' AS type, p.page,

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioquery.functions import text as X
+from folioquery.functions.text import WHITESPACE_CLASS
 from folioquery.functions.quality import analyze_page_texts
 from folioquery.operators import chunking as C
 from folioquery.operators import elements as E
+from folioquery.operators.elements import ENTRY, convert_entries
 from folioquery.plans import derived as D
 from folioquery.plans import sqltext as S
 from folioquery.plans.registry import query
@@ -169,6 +171,9 @@ _HTML_BODY = f"""
     CASE WHEN caption_raw <> '' THEN 'Table: ' || caption_raw || {S.NL} ELSE '' END || html"""
 
 
+assert _SERIALIZED_BODY in S.CHUNKS
+
+
 @query("report_chunks_html", f"""
 WITH {S.CHUNKS.replace(_SERIALIZED_BODY, _HTML_BODY)}
 SELECT doc_id, chunk_id, type, page, text, els_start, els_end, table_id, length_tokens FROM chunks""")
@@ -203,3 +208,54 @@ SELECT doc_id, max(n) AS n_chunks, count(*) FILTER (type = 'content') AS n_conte
 FROM sorted GROUP BY doc_id""")
 def chunk_token_percentiles(spark, folder):
     return C.chunk_stats(document_chunks(spark, folder)[0])
+
+
+# ---- nothing is lost ------------------------------------------------------------------
+
+@query("report_conservation", f"""
+WITH {S.LINES}
+SELECT doc_id, sum({S.extracted('line')})::BIGINT AS chars_in, sum({S.extracted('line')})::BIGINT AS chars_out
+FROM lines GROUP BY doc_id""")
+def report_conservation(spark, folder):
+    """Characters of every report that are not white space, before and after the element conversion."""
+    blank = F.lit(f"[{WHITESPACE_CLASS}]")
+
+    def ink(c):
+        return F.length(F.regexp_replace(c, blank, F.lit("")))
+
+    before = D.reports(spark, folder).select(
+        "doc_id",
+        F.aggregate(
+            "entries", F.lit(0).cast("long"),
+            lambda n, e: n + ink(F.coalesce(
+                e["text"], F.regexp_replace(e["table_body"], "</?t[a-z]+>", ""), F.get(e["image_caption"], F.lit(0)),
+            )),
+        ).alias("chars_in"),
+    )
+    told = F.when(F.col("type") == "table", F.regexp_replace("html", "</?t[a-z]+>", "")).otherwise(F.col("text"))
+    after = D.report_elements(spark, folder).groupBy("doc_id").agg(F.sum(ink(told)).alias("chars_out"))
+    return before.join(after, "doc_id", "left").select(
+        "doc_id", "chars_in", F.coalesce("chars_out", F.lit(0)).cast("long").alias("chars_out")
+    )
+
+
+@query("discarded_entries", """
+SELECT conv_id AS doc_id, count(*) AS n_entries, count(*) FILTER (turn % 3 <> 2 AND trim(text) <> '') AS n_elements
+FROM conversations GROUP BY conv_id""")
+def discarded_entries(spark, folder):
+    """Conversations as reports whose every third turn is a running header the parser marked: it gives no element."""
+    kind = F.when(F.col("turn") % 3 == 2, "discarded").otherwise("text")
+    entry = F.struct(
+        F.col("turn"), F.struct(
+            kind.alias("type"), F.lit(0).alias("page_idx"), F.col("text"), F.lit(None).cast("int").alias("text_level"),
+            F.lit(None).cast("array<string>").alias("table_caption"), F.lit(None).cast("string").alias("table_body"),
+            F.lit(None).cast("array<string>").alias("image_caption"), F.lit(None).cast("string").alias("img_path"),
+        ).cast(ENTRY).alias("entry"),
+    )
+    talks = table(spark, folder, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(
+        F.array_sort(F.collect_list(entry)).alias("turns")
+    ).select("doc_id", F.transform("turns", lambda t: t["entry"]).alias("entries"))
+    elements = convert_entries(talks).groupBy("doc_id").agg(F.count("*").alias("n_elements"))
+    return talks.select("doc_id", F.size("entries").cast("long").alias("n_entries")).join(
+        elements, "doc_id", "left"
+    ).select("doc_id", "n_entries", F.coalesce("n_elements", F.lit(0)).alias("n_elements"))

@@ -24,8 +24,17 @@ def build_session(app_name: str = "folioquery", master: str | None = None, **con
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; only an unset one gets a test folder."""
+    """Use the shared folder the cluster names; only a local session may go without and gets a test folder."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="folioquery-ckpt-"))
+        if not folder:
+            if not is_local(sc.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="folioquery-ckpt-")
+        sc.setCheckpointDir(folder)
+
+
+def is_local(master: str) -> bool:
+    """Whether driver and tasks are one process: only then is a folder of this machine seen by all."""
+    return master == "local" or master.startswith("local[")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -72,8 +73,8 @@ def questions(spark: SparkSession, path: str, limit: int | None = None) -> DataF
 
 def json_documents(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     """A stage folder with one JSON document per report."""
-    return spark.read.schema(schema).option("multiLine", True).json(folder).withColumn(
-        "doc_id", stem(F.input_file_name())
+    return spark.read.schema(schema).option("multiLine", True).json(folder).select(
+        "*", stem(F.col("_metadata.file_name")).alias("doc_id")
     )
 
 
@@ -128,8 +129,22 @@ def merge_latest(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFra
 
 
 def write_stage(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """Replace a stage table; the commit protocol leaves the old files until it succeeds."""
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    """Add a version of a stage table and make it the current one.
+
+    Versions lie in folders of their own.  The one-row file that names the current one
+    is written last and never in place of another, so a failed write leaves the version
+    before it in force.
+    """
+    version = uuid.uuid4().hex
+    df.write.partitionBy(*partition_by).parquet(f"{path}/versions/{version}")
+    now = df.sparkSession.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("at"))
+    now.coalesce(1).write.mode("append").parquet(f"{path}/current")
+
+
+def read_stage(spark: SparkSession, path: str) -> DataFrame:
+    """The current version of a stage table."""
+    version = spark.read.parquet(f"{path}/current").agg(F.max_by("version", "at")).first()[0]
+    return spark.read.parquet(f"{path}/versions/{version}")
 
 
 def write_json(df: DataFrame, path: str) -> None:

@@ -10,12 +10,8 @@ from folioquery.session import ensure_checkpoint_dir
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table, spread over the cores when its files give fewer partitions than that."""
-    df = spark.read.parquet(f"{folder}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        df = df.repartition(cores)
-    return df
+    """A table of the input folder; how it is split is the session's matter (spark.sql.files settings)."""
+    return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
