@@ -74,7 +74,8 @@ def questions(spark: SparkSession, path: str, limit: int | None = None) -> DataF
 def json_documents(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     """A stage folder with one JSON document per report."""
     return spark.read.schema(schema).option("multiLine", True).json(folder).select(
-        "*", stem(F.col("_metadata.file_name")).alias("doc_id")
+        # the name is percent-encoded; a plus sign in it is not a blank
+        "*", stem(F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))).alias("doc_id")
     )
 
 

@@ -14,6 +14,9 @@ TABLES = (
     "benchmark labels conversations"
 ).split()
 
+#: Queries that SQL cannot express; each has tests of its own on small inputs.
+NO_SQL = {"html_elements", "answer_questions"}
+
 
 def plain(value):
     if isinstance(value, float):
@@ -46,7 +49,7 @@ def check(spark, con, folder, name, fn, sql):
     got = rows_of(df.columns, df.collect())
     t1 = time.time()
     if sql is None:
-        return True, f"{len(got)} rows only {t1 - t0:.1f}s"
+        return name in NO_SQL and len(got) > 0, f"{len(got)} rows, no SQL, {t1 - t0:.1f}s"
     cur = con.execute(sql)
     names = [d[0] for d in cur.description]
     want = rows_of(names, cur.fetchall())

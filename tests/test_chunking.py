@@ -30,33 +30,6 @@ def elements_of(spark, docs):
 
 def naive_chunks(items, size, overlap):
     """Straightforward one-document statement of the chunk rules (prose only)."""
-    def cut(line, budget):
-        out, cur = [], []
-        for w in line.split(" "):
-            if cur and sum(ntok(x) + 1 for x in cur) + ntok(w) + 1 > budget:
-                out.append(" ".join(cur))
-                keep = []
-                while len(keep) < len(cur) and sum(ntok(x) + 1 for x in cur[len(cur) - len(keep) - 1:]) <= overlap:
-                    keep = cur[len(cur) - len(keep) - 1:]
-                cur = list(keep)
-            cur.append(w)
-        return out + [" ".join(cur)]
-
-    def fragments(text, budget):
-        out, held = [], []
-        for line in text.split("\n"):
-            if ntok(line) > budget:
-                if held:
-                    out.append("\n".join(held))
-                held = []
-                out += cut(line, budget)
-            else:
-                if held and sum(map(ntok, held)) + ntok(line) > budget:
-                    out.append("\n".join(held))
-                    held = []
-                held.append(line)
-        return out + (["\n".join(held)] if held else [])
-
     stack, sections = [], []
     for i, e in enumerate(items):
         if e["type"] == "heading":
@@ -82,7 +55,7 @@ def naive_chunks(items, size, overlap):
         for i, e in atoms:
             if ntok(e["text"]) > budget:
                 close()
-                out.extend((e.get("page", 1), prefix + f, i, i + 1) for f in fragments(e["text"], budget))
+                out.extend((e.get("page", 1), prefix + f, i, i + 1) for f in C.split_paragraph(e["text"], budget, overlap))
                 continue
             if group and sum(ntok(x["text"]) for _, x in group) + ntok(e["text"]) > budget:
                 close()
@@ -91,6 +64,20 @@ def naive_chunks(items, size, overlap):
     return out
 
 
+@pytest.mark.parametrize("text,budget,overlap,want", [
+    ("a b\nc d\ne", 4, 0, ["a b\nc d", "e"]),
+    ("a b c\nd\n\ne", 3, 0, ["a b c", "d\n\ne"]),
+    ("p q r s t", 4, 0, ["p q", "r s", "t"]),
+    ("p q r s t", 4, 2, ["p q", "q r", "r s", "s t"]),
+    ("x\np q r\ny", 2, 0, ["x", "p", "q", "r", "y"]),
+    ("", 5, 0, [""]),
+    ("toolong1234567890 z", 2, 0, ["toolong1234567890", "z"]),
+])
+def test_long_paragraphs_worked_by_hand(text, budget, overlap, want):
+    """A word in a window costs its tokens and one; a line costs its tokens."""
+    assert C.split_paragraph(text, budget, overlap) == want
+
+
 def random_document(rng, n, headings, long_share=0.03):
     items = []
     for i in range(n):
@@ -214,3 +201,17 @@ def test_pictures_with_other_counts_are_refused(spark):
                                  "doc_id string, seq long, img_path string")
     out = {(r.doc_id, r.idx): (r.img, r.aligned) for r in align_pictures(pics, imgs).collect()}
     assert out == {("a", 0): ("x", True), ("a", 3): ("y", True), ("b", 1): (None, False)}
+
+
+def test_report_of_many_elements(spark):
+    n = 100_000
+    rows = spark.range(n).select(
+        F.lit("d").alias("doc_id"), F.col("id").alias("idx"), (F.col("id") / 50).cast("int").alias("page"),
+        F.when(F.col("id") % 1000 == 0, "heading").otherwise("paragraph").alias("type"),
+        F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"), F.lit(1).alias("level"),
+        F.lit(None).cast("string").alias("table_id"),
+        F.lit(None).cast("struct<type:string,data:string,text:string,img:string>").alias("vl"),
+    )
+    chunks, _ = C.split_documents(rows, spark.createDataFrame([], TABLE))
+    got = chunks.agg(F.sum(F.col("els_end") - F.col("els_start")).alias("els"), F.max("length_tokens").alias("most")).first()
+    assert got.els == n - n // 1000 and got.most <= 300

@@ -9,35 +9,35 @@ def analyze(spark, pages, threshold=0.8):
 
 
 def test_blank_pages(spark):
-    q = analyze(spark, ["", "", ""])
+    q = analyze(spark, ["", "\n"])
     assert (q.passed, q.error_code, q.recognizable_chars) == (False, "NO_RECOGNIZABLE_TEXT", 0)
     assert (q.average_chars_per_page, q.text_page_ratio) == (0, 0)
 
 
 def test_low_ratio_and_boundary(spark):
-    q = analyze(spark, ["abcd�\x03"])
-    assert q.error_code == "LOW_VALID_CHAR_RATIO" and q.valid_char_ratio == pytest.approx(4 / 6)
-    q = analyze(spark, ["abcd�"])
+    q = analyze(spark, ["wxy\ufffd\ufffd"])
+    assert q.error_code == "LOW_VALID_CHAR_RATIO" and q.valid_char_ratio == pytest.approx(3 / 5)
+    q = analyze(spark, ["wxyzwxyz\ufffd\x02"])
     assert q.passed and q.error_code is None and q.valid_char_ratio == 0.8
 
 
 def test_whitespace_and_marks(spark):
-    q = analyze(spark, ["AB 12\n", "", "C"])
-    assert (q.extracted_chars, q.recognizable_chars, q.valid_char_ratio) == (5, 5, 1.0)
-    assert q.average_chars_per_page == pytest.approx(5 / 3)
-    assert q.text_page_ratio == pytest.approx(2 / 3)
-    q = analyze(spark, ["é\x1c "])
+    q = analyze(spark, ["xy 7\t", "", "zz", "w"])
+    assert (q.extracted_chars, q.recognizable_chars, q.valid_char_ratio) == (6, 6, 1.0)
+    assert q.average_chars_per_page == pytest.approx(6 / 4)
+    assert q.text_page_ratio == pytest.approx(3 / 4)
+    q = analyze(spark, ["e\u0301\x1c "])
     assert (q.extracted_chars, q.recognizable_chars) == (2, 1)
 
 
 def test_rows_agree_with_arrays(spark):
-    pages = ["AB 12\n", "", "C�", "zz", "y", "later"]
+    pages = ["xy 7\n", "", "z\ufffd", "vv", "u", "later"]
     rows = spark.createDataFrame([("d", i + 1, t) for i, t in enumerate(pages)],
                                  "doc_id string, page int, text string")
     assert gate_page_rows(rows, sample_pages=5).first().quality == analyze(spark, pages[:5])
 
 
-@pytest.mark.parametrize("sample,threshold", [(0, 0.8), (-1, 0.8), (5, -0.1), (5, 1.1)])
+@pytest.mark.parametrize("sample,threshold", [(0, 0.5), (-3, 0.5), (4, -0.2), (4, 1.5)])
 def test_bad_options(spark, sample, threshold):
     rows = spark.createDataFrame([("d", 1, "x")], "doc_id string, page int, text string")
     with pytest.raises(ValueError):
