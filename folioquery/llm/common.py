@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from folioquery.sources.tables import stage
 
-__all__ = ["HashCache", "grouped", "held_out", "read", "slices", "stage", "text_or_empty", "words"]
+__all__ = ["HashCache", "grouped", "held_out", "packed", "read", "slices", "stage", "text_or_empty", "unpacked", "words"]
 
 #: Rows that are turned into Python objects at a time inside a task.
 SLICE_ROWS = 256
@@ -25,6 +25,16 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def packed(docs: DataFrame, *used: str | Column) -> DataFrame:
+    """Whole rows in one column ``doc`` beside the columns an operator works on: no other name can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *used)
+
+
+def unpacked(df: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The rows of ``packed`` again, with some columns changed."""
+    return df.select(*[changed.get(c, F.col("doc").getField(c)).alias(c) for c in columns])
+
+
 def text_or_empty(name: str = "text") -> Column:
     """The text with null read as empty."""
     return F.coalesce(F.col(name), F.lit(""))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioquery.llm.common import HashCache, grouped, shingle_hashes, slices, stage
+from folioquery.llm.common import HashCache, grouped, packed, shingle_hashes, slices, stage, unpacked
 from folioquery.llm.components import connected_components
 
 SHINGLE_WORDS = 5
@@ -237,4 +237,5 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
 def keep_first(docs: DataFrame, percent: int = 80) -> DataFrame:
     """The documents with the smallest id of their group, with their own columns."""
     kept = near_duplicates(docs, percent).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id"])
+    rows = packed(docs, "doc_id").join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    return unpacked(rows.dropDuplicates(["doc_id"]), docs.columns)

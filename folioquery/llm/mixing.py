@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioquery.llm.common import read
+from folioquery.llm.common import packed, read, unpacked
 
 OTHER = "other"
 #: Target shares of the named values among all named values of a dimension.
@@ -84,12 +84,12 @@ def rake(cells: dict[tuple[str, ...], int], targets: dict[str, dict[str, float]]
 def mix(
     docs: DataFrame, topic: DataFrame, targets: dict[str, dict[str, float]] | None = None, fraction: float = FRACTION
 ) -> DataFrame:
-    """The documents with mix_tokens, mix_topic, mix_probability and mix_kept."""
+    """doc (the whole row), doc_id, source, lang, mix_tokens, mix_topic, mix_probability, mix_kept."""
     targets = targets or TARGETS
     spark = docs.sparkSession
     # tokens are counted before the join, so that a caller who drops the text does not move it
-    counted_docs = docs.withColumn("mix_tokens", tokens(F.col("text")))
-    marked = counted_docs.join(topic, counted_docs["doc_id"] == topic["topic_id"], "left").drop("topic_id")
+    counted_docs = packed(docs, "doc_id", "source", "lang", tokens(F.col("text")).alias("mix_tokens"))
+    marked = counted_docs.join(topic, F.col("doc_id") == F.col("topic_id"), "left").drop("topic_id")
     values = {"source": F.col("source"), "lang": F.col("lang"), "topic": F.col("topic_value")}
     for name, column in values.items():
         known = column.isin(list(targets[name]))
@@ -112,4 +112,4 @@ def mix(
 
 def keep_mixed(docs: DataFrame, folder: str) -> DataFrame:
     """The sampled documents with their own columns."""
-    return mix(docs, topics(docs.sparkSession, folder)).filter("mix_kept").select(*docs.columns)
+    return unpacked(mix(docs, topics(docs.sparkSession, folder)).filter("mix_kept"), docs.columns)

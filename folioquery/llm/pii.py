@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioquery.llm.common import packed, unpacked
+
 #: The patterns take possessive steps and anchors that cannot change a match, so long runs
 #: of pattern characters cost linear time.
 EMAIL = (
@@ -157,7 +159,7 @@ def report(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with every span replaced by its kind in brackets; n_chars follows the text."""
-    found = find_spans(docs)
+    found = find_spans(packed(docs, "text"))
     text = F.col("text")
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
@@ -173,8 +175,10 @@ def redact(docs: DataFrame) -> DataFrame:
         "pii_spans", start, step,
         lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))),
     )
-    out = found.withColumn("text", F.when(F.size("pii_spans") > 0, clean).otherwise(text))
+    some = F.size("pii_spans") > 0
+    clean_docs = found.select("doc", F.when(some, clean).otherwise(text).alias("clean"), some.alias("some"))
+    changed = {"text": F.col("clean")}
     if "n_chars" in docs.columns:
-        changed = F.size("pii_spans") > 0
-        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        size = F.length("clean").cast(docs.schema["n_chars"].dataType)
+        changed["n_chars"] = F.when(F.col("some"), size).otherwise(F.col("doc").getField("n_chars"))
+    return unpacked(clean_docs, docs.columns, **changed)

@@ -1,8 +1,9 @@
 """Quality rules: text statistics and a log-likelihood ratio of hashed n-grams.
 
-Word unigrams and bigrams of a text are hashed into buckets. Two multinomials over
-the buckets, one of trusted documents and one of the whole corpus, give every bucket a
-log ratio. A document's score is the mean ratio of its n-grams, and documents below a
+Character n-grams of a text (as UTF-8 bytes) are hashed into buckets. Two multinomials
+over the buckets, one of trusted documents and one of the whole corpus, give every bucket
+a log ratio. Characters rather than words: a language with few trusted documents is
+still well covered by them. A document's score is the mean ratio of its n-grams, and documents below a
 fixed score fail. Nothing is drawn at random: equal texts get equal verdicts.
 
 Defined results: a null or empty text has no words, all counts 0, score 0 and fails the
@@ -23,13 +24,15 @@ from pyspark.sql import functions as F
 from folioquery.llm.common import HashCache, held_out, read, shingle_hashes, slices, words
 
 #: Buckets of the multinomials.
-BUCKETS = 1 << 14
+BUCKET_BITS = 14
+BUCKETS = 1 << BUCKET_BITS
+NGRAMS = (3, 4)
 #: At most so many labelled rows (the lowest id hashes) make the trusted target.
 TRUSTED_ROWS = 20_000
 #: Mean log ratio a document must reach: MIN_SCORE less SHORT_SLACK over the root of its words, as the mean of few
 #: n-grams scatters more.
-MIN_SCORE = -0.05
-SHORT_SLACK = 0.12
+MIN_SCORE = -0.27
+SHORT_SLACK = 0.2
 MIN_WORDS = 10
 #: Percent of the words that may stand in windows of five words found twice or more.
 MAX_REPEAT_PERCENT = 20
@@ -46,10 +49,18 @@ METRICS_DDL = (
 )
 
 
-def ngram_buckets(h: np.ndarray) -> np.ndarray:
-    """Buckets of all word unigrams and bigrams."""
-    both = np.concatenate([shingle_hashes(h, 1), shingle_hashes(h, 2)]) if len(h) > 1 else shingle_hashes(h, 1)
-    return (both % np.uint64(BUCKETS)).astype(np.int64)
+def ngram_buckets(text: str | None) -> np.ndarray:
+    """Buckets of all n-grams of a text; none if it is shorter than the smallest."""
+    b = np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8).astype(np.uint32)
+    found = []
+    for n in NGRAMS:
+        if len(b) >= n:
+            x = np.full(len(b) - n + 1, n, np.uint32)
+            for i in range(n):
+                x = x * np.uint32(0x01000193) ^ b[i : len(b) - n + 1 + i]
+            x *= np.uint32(0x9E3779B1)
+            found.append(x >> np.uint32(32 - BUCKET_BITS))
+    return np.concatenate(found).astype(np.int64) if found else np.zeros(0, np.int64)
 
 
 def repeated_words(h: np.ndarray) -> int:
@@ -84,7 +95,8 @@ def describe(text: str | None, cache: HashCache, ratio: np.ndarray) -> tuple:
     h = cache.of(w)
     repeat = repeated_words(h)
     failed = len(w) < MIN_WORDS or 100 * repeat > MAX_REPEAT_PERCENT * len(w)
-    score = float(ratio[ngram_buckets(h)].mean()) if w else 0.0
+    grams = ngram_buckets(text)
+    score = float(ratio[grams].mean()) if len(grams) else 0.0
     chars = len(text) - sum(map(text.count, " \t\n\v\f\r"))
     return (
         len(w), chars, len(SYMBOL.findall(text)), duplicate_lines(text), repeat,
@@ -108,13 +120,13 @@ def bucket_counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """
 
     def count(batches):
-        cache, total = HashCache(), np.zeros((2, BUCKETS), np.int64)
+        total = np.zeros((2, BUCKETS), np.int64)
         for batch in batches:
             flags = batch.column(1).to_pylist()
             at = 0
             for texts in slices(batch.column(0)):
                 for text in texts:
-                    got = np.bincount(ngram_buckets(cache.of(words(text))), minlength=BUCKETS)
+                    got = np.bincount(ngram_buckets(text), minlength=BUCKETS)
                     total[0] += got
                     if flags[at]:
                         total[1] += got
