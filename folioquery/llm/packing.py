@@ -18,8 +18,9 @@ from __future__ import annotations
 
 import bisect
 import functools
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,11 @@ CLOSING_ID = 0
 RANK_SLICES = 8192
 #: Slices hold at least so many pieces on average.
 MIN_SLICE = 64
-CACHE_RUNS = 200_000
+#: Entries of one generation of a worker's caches; two generations are kept.
+CACHE_ENTRIES = 130_000
+#: A word of Latin letters, whose lower case has as many, and signs after it. The tokenizer lower-cases and parts letters
+#: from signs, so such a run has the ids of the lower-case word and those of its signs. No sign here is an apostrophe.
+WORD_AND_SIGNS = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
 PIECES_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
 
@@ -43,7 +48,25 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class RunIds(dict):
+class Generations(dict):
+    """A cache of ``make``'s values: when it is full it becomes the old generation, from which used entries return."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= CACHE_ENTRIES:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+class RunIds:
     """Token ids of runs between blanks, as little-endian unsigned 32-bit bytes.
 
     The tokenizer never joins characters across white space, so the ids of a text are
@@ -51,20 +74,28 @@ class RunIds(dict):
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, run: str) -> bytes:
-        if len(self) >= CACHE_RUNS:
-            self.clear()
-        ids = self.tokenizer.encode(run, add_special_tokens=False).ids
-        value = self[run] = np.array(ids, "<u4").tobytes()
-        return value
+        # lower-case words of Latin letters need neither its normalizer nor its splitting
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.words = Generations(lambda word: self._bytes(self.merges, word))
+        self.signs = Generations(lambda signs: self._bytes(self.tokenizer, signs))
+        self.runs = Generations(self._run)
+
+    @staticmethod
+    def _bytes(tokenizer, text: str) -> bytes:
+        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _run(self, run: str) -> bytes:
+        parts = WORD_AND_SIGNS.fullmatch(run)
+        if parts is None:
+            return self._bytes(self.tokenizer, run)
+        return self.words[parts[1].lower()] + self.signs[parts[2]]
 
     def of(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        return b"".join(map(self.runs.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 @functools.lru_cache(maxsize=2)

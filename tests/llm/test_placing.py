@@ -43,7 +43,8 @@ def test_ids_of_runs_are_ids_of_the_text():
 
     whole = Tokenizer.from_file(packing.default_tokenizer())
     runs = packing.RunIds(packing.default_tokenizer())
-    for text in ("", " a  b\n\nc", "It's 'quoted' don't\tx\u00a0y", "e\u0301 \u0301x \u00c5\u2028\u00e9", "a\x1cb\x85c !!?? 12 3", "\u03a3\u03a3 \u0130"):
+    for text in ("", " a  b\n\nc", "It's 'quoted' don't\tx\u00a0y", "e\u0301 \u0301x \u00c5\u2028\u00e9", "a\x1cb\x85c !!?? 12 3", "\u03a3\u03a3 \u0130",
+                 "Word. WORD!! \u00c4\u00d6\u00dfe, \u00ff~ x'S. don'T.. a|b |c d| e|| <|endoftext|> f<|endoftext|> g<| \u00c4', h'' i.'s"):
         assert np.frombuffer(runs.of(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
 
 
