@@ -35,7 +35,7 @@ RANK_SLICES = 8192
 #: Slices hold at least so many pieces on average.
 MIN_SLICE = 64
 #: Entries of one generation of a worker's caches; two generations are kept.
-CACHE_ENTRIES = 130_000
+CACHE_ENTRIES = 200_000
 #: A word of Latin letters, whose lower case has as many, and signs after it. The tokenizer lower-cases and parts letters
 #: from signs, so such a run has the ids of the lower-case word and those of its signs. No sign here is an apostrophe.
 WORD_AND_SIGNS = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
