@@ -89,6 +89,13 @@ def usable_pools(pools: DataFrame, indexed: DataFrame) -> DataFrame:
     return pools.join(whole.drop("_whole"), ["question_id", "pool_no"])
 
 
+def common_pools(pools: DataFrame, *indexed: DataFrame) -> DataFrame:
+    """Pools that every one of several indexes can answer, so that their recalls compare."""
+    for documents in indexed:
+        pools = usable_pools(pools, documents)
+    return pools
+
+
 def page_order(candidates: DataFrame) -> DataFrame:
     """Distinct pages of each (question, document) numbered by first appearance.
 

@@ -325,6 +325,50 @@ def recall_ablation(spark, folder):
     )
 
 
+@query("common_pools", """
+WITH pools AS (
+  SELECT o_custkey AS question_id, o_orderkey AS pool_no, unnest([o_orderkey % 5, o_custkey % 6]) AS doc_id FROM orders
+),
+a AS (SELECT DISTINCT l_suppkey % 4 AS doc_id FROM lineitem),
+b AS (SELECT DISTINCT l_suppkey % 4 + 1 AS doc_id FROM lineitem)
+SELECT question_id, pool_no, count(DISTINCT doc_id) AS n_documents FROM pools GROUP BY 1, 2
+HAVING bool_and(doc_id IN (SELECT doc_id FROM a) AND doc_id IN (SELECT doc_id FROM b))""")
+def common_pools(spark, folder):
+    """Pools of the orders against two indexes that share some documents only."""
+    orders = table(spark, folder, "orders")
+    pools = orders.select(
+        F.col("o_custkey").alias("question_id"), F.col("o_orderkey").alias("pool_no"),
+        F.explode(F.array(F.col("o_orderkey") % 5, F.col("o_custkey") % 6)).alias("doc_id"), F.lit(1).alias("page"),
+    ).distinct()
+    lines = table(spark, folder, "lineitem").select((F.col("l_suppkey") % 4).alias("doc_id"))
+    both = evaluation.common_pools(pools, lines, lines.select((F.col("doc_id") + 1).alias("doc_id")))
+    return both.groupBy("question_id", "pool_no").agg(F.count("*").alias("n_documents"))
+
+
+@query("gold_spellings", """
+SELECT c_custkey, CASE c_custkey % 5
+    WHEN 0 THEN c_name || '|' || c_mktsegment WHEN 1 THEN c_name WHEN 2 THEN c_name || '|x'
+    WHEN 3 THEN c_name || '|None|5' ELSE '[' || chr(39) || c_name || chr(39) || ', ' || chr(39) || 'y' || chr(39) || ']' END AS golds,
+  CASE c_custkey % 5 WHEN 4 THEN 2 ELSE 1 END AS n_items
+FROM customer""")
+def gold_spellings(spark, folder):
+    """Gold answers in every spelling that occurs: quotes of all kinds, JSON words, nested lists, plain text."""
+    from folioquery.functions.answers import parse_golds
+
+    name, kind = F.col("c_name"), F.col("c_custkey") % 5
+    spelled = (
+        F.when(kind == 0, F.concat(F.lit("['"), name, F.lit("', \""), "c_mktsegment", F.lit("\"]")))
+        .when(kind == 1, name)
+        .when(kind == 2, F.concat(F.lit("[\u2018"), name, F.lit("\u2019, 'x']")))
+        .when(kind == 3, F.concat(F.lit('["'), name, F.lit('", null, 5]')))
+        .otherwise(F.concat(F.lit("[['"), name, F.lit("', 'y']]")))
+    )
+    return table(spark, folder, "customer").select("c_custkey", parse_golds(spelled).alias("g")).select(
+        "c_custkey", F.array_join(F.transform("g", lambda x: x["text"]), "|").alias("golds"),
+        F.size(F.get("g", F.lit(0))["items"]).alias("n_items"),
+    )
+
+
 # ---- judge rows, runs, resume -------------------------------------------------------------
 
 @query("judge_rows", """

@@ -9,7 +9,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from folioquery.operators import answering, enrichment, models, rerank, routing
+from folioquery.functions.text import token_count
+from folioquery.operators import answering, enrichment, indexing, models, rerank, routing
 from folioquery.operators.elements import convert_entries
 from folioquery.operators.ingestion import ingest
 from folioquery.plans import derived as D
@@ -19,7 +20,7 @@ from folioquery.plans.retrieval import HYBRID, hybrid_hits
 from folioquery.plans.structure import document_chunks
 from folioquery.session import ensure_checkpoint_dir
 from folioquery.sources import html
-from folioquery.sources.tables import table
+from folioquery.sources.tables import stage, table
 from folioquery.streaming.ingest import run_ingest
 
 # ---- ingestion ----------------------------------------------------------------------
@@ -238,6 +239,31 @@ def weak_evidence(spark, folder):
     )
 
 
+@query("index_round_trip", """
+SELECT 'c' || conv_id AS doc_id, CASE WHEN bool_or(trim(text) = '') THEN 'failed' ELSE 'indexed' END AS status,
+  CASE WHEN NOT bool_or(trim(text) = '') THEN count(*) END AS n_chunks,
+  CASE WHEN NOT bool_or(trim(text) = '') THEN count(*) END AS n_vectors,
+  CASE WHEN NOT bool_or(trim(text) = '') THEN 16 END AS dims
+FROM conversations GROUP BY conv_id""")
+def index_round_trip(spark, folder):
+    """Conversations as reports, indexed in two runs and read back: the second run only skips."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/index-{uuid.uuid4().hex}"
+    chunks = table(spark, folder, "conversations").select(
+        F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("doc_id"), F.col("turn").alias("chunk_id"), "text",
+        token_count(F.col("text")).alias("length_tokens"),
+    )
+    embedder = models.HashingEmbedder(16)
+    first = stage(indexing.update_index(chunks, path, embedder, "hashing"), "first-run")
+    indexing.update_index(chunks, path, embedder, "hashing")
+    lexical_rows, vector_rows, meta = indexing.read_index(spark, path)
+    n_chunks = lexical_rows.groupBy(F.col("route").alias("doc_id")).agg(F.count("*").alias("n_chunks"))
+    n_vectors = vector_rows.groupBy("doc_id").agg(F.count("*").alias("n_vectors"))
+    return first.select("doc_id", "status").join(n_chunks, "doc_id", "left").join(n_vectors, "doc_id", "left").join(
+        meta.select("doc_id", "dims"), "doc_id", "left"
+    )
+
+
 # ---- question answering -------------------------------------------------------------------
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from folioquery.operators import enrichment, lexical, vectors
 from folioquery.operators.elements import attach_company
 from folioquery.operators.parents import parent_pages
+from folioquery.operators.runner import run_chain
 from folioquery.session import is_local
 from folioquery.sources import stages
 
@@ -96,3 +97,14 @@ def test_no_plan_deals_rows_in_turn_or_by_route_alone(spark):
 def test_only_local_sessions_may_use_a_local_folder():
     assert is_local("local") and is_local("local[4]")
     assert not is_local("local-cluster[2,1,1024]") and not is_local("spark://host:7077") and not is_local("yarn")
+
+
+def test_a_chain_stops_at_the_first_failure(spark, tmp_path):
+    path = str(tmp_path / "a")
+
+    def broken():
+        raise ValueError("no input")
+
+    got = run_chain(spark, [("a", lambda: stages.write_stage(spark.range(2), path)), ("b", broken), ("c", broken)])
+    assert [tuple(r) for r in got.collect()] == [("a", "done", None), ("b", "failed", "ValueError: no input"), ("c", "not run", None)]
+    assert stages.read_stage(spark, path).count() == 2
