@@ -41,7 +41,7 @@ def read_layout(content):
 def test_every_file_gets_one_result(spark):
     names = ["good", "blank", "empty", "closed", "crash", "broken", "done"]
     done = spark.createDataFrame([("done",)], "doc_id string")
-    meta = spark.createDataFrame([("Good Co", "eval/good.pdf")], "company string, filename string")
+    meta = spark.createDataFrame([("Good Co", "eval/good.pdf", 0)], "company string, filename string, csv_ord long")
     results, reports = ingestion.ingest(files(spark, names), done, read_layout, read_pages, meta, out="o")
     got = {r.doc_id: r for r in results.collect()}
     assert {k: (r.status, r.error_code) for k, r in got.items()} == {
