@@ -178,10 +178,11 @@ def answer_tasks(
             "weak": F.coalesce("weak", F.lit(options.weak_threshold > 0)),
         })
         .withColumn("context", F.array_join(blocks, "\n\n---\n\n"))
+        .withColumn("_refused", F.col("_bad_kind").isNotNull())
     )
     replies = models.ask(
         ready, with_models.answerer, ["question", "kind", "context", "pages", "weak"],
-        models.check_answer,
+        models.check_answer, skip="_refused",
     )
     reply = F.col("outcome.reply")
     cited = F.from_json(F.get_json_object(reply, "$.relevant_pages"), "array<int>")
@@ -256,8 +257,11 @@ def answer_questions(
         ),
     )))
     combined = models.ask(
-        gathered.select("question_id", F.col("_q").alias("question"), F.to_json(brief).alias("sub_answers")),
-        with_models.combiner, ["question", "sub_answers"], models.check_object, retries=1,
+        gathered.select(
+            "question_id", F.col("_q").alias("question"), F.to_json(brief).alias("sub_answers"),
+            F.exists("p", lambda a: a["error"].isNotNull()).alias("_refused"),
+        ),
+        with_models.combiner, ["question", "sub_answers"], models.check_object, retries=1, skip="_refused",
     ).select("question_id", "outcome")
     reply = F.col("outcome.reply")
     many = gathered.join(combined, "question_id").select(

@@ -2,7 +2,9 @@
 
 A model is any picklable object with ``reply(request: dict) -> str`` that returns
 JSON.  The request holds the chosen columns of the row.  Calls happen in Arrow
-batches inside the tasks; how many run at once is the number of partitions.
+batches inside the tasks; how many run at once is the number of partitions times the
+size of a task's pool.  ``ask_durably`` keeps the replies of every finished batch, so a
+run that failed goes on where it stopped.
 """
 
 from __future__ import annotations
@@ -12,10 +14,12 @@ import math
 import re
 import time
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Any, Protocol
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -113,18 +117,57 @@ def check_object(reply: dict, request: dict) -> None:
 
 def ask(
     df: DataFrame, model: Model, request: Sequence[str], check: Callable[[dict, dict], None],
-    out: str = "outcome", retries: int = 3, backoff_seconds: float = 0.0,
+    out: str = "outcome", retries: int = 3, backoff_seconds: float = 0.0, pool: int = 1,
+    skip: str | None = None,
 ) -> DataFrame:
     """Add the outcome of one model call per row.
 
+    ``pool`` calls of a task run at once.  Rows whose boolean column ``skip`` is true are
+    not asked: their outcome holds no reply, no error and no attempt.
+
     A malformed reply or an exception is tried again, waiting longer each time;
     after the last try the row carries the error and the job goes on.  Usage is
     returned with the row, so a retried task does not count twice.  The result is a
     stage table: recomputing a plan never repeats a paid call.
     """
+    return stage(_asked(df, model, request, check, out, retries, backoff_seconds, pool, skip), "model")
+
+
+def ask_durably(
+    df: DataFrame, keys: Sequence[str], model: Model, request: Sequence[str], check: Callable[[dict, dict], None],
+    path: str, batches: int = 16, out: str = "outcome", retries: int = 3, backoff_seconds: float = 0.0, pool: int = 1,
+) -> DataFrame:
+    """``ask`` in batches that are committed one by one under ``path``, a folder that names the run.
+
+    A later call with the same path asks only rows whose keys have no reply yet: finished
+    batches are kept when a run dies, and rows that carry an error are asked again.
+    Returns the rows of ``df`` with their outcome.
+    """
+    spark = df.sparkSession
+    try:
+        have = spark.read.parquet(path).where(F.col(f"{out}.error").isNull()).select(*keys).distinct()
+        todo = df.join(have, list(keys), "left_anti")
+    except AnalysisException:  # nothing was committed under this path
+        todo = df
+    todo = stage(todo.withColumn("_part", F.pmod(F.xxhash64(*keys), F.lit(batches))), "to-ask")
+    for part in sorted(r[0] for r in todo.select("_part").distinct().collect()):
+        rows = todo.where(F.col("_part") == part).drop("_part")
+        asked = _asked(rows, model, request, check, out, retries, backoff_seconds, pool, None)
+        asked.select(*keys, out).write.mode("append").parquet(path)
+    replies = spark.read.parquet(path).groupBy(*keys).agg(
+        F.max_by(out, F.struct(F.col(f"{out}.error").isNull(), F.col(f"{out}.attempts"))).alias(out)
+    )
+    return df.join(replies, list(keys), "left")
+
+
+def _asked(
+    df: DataFrame, model: Model, request: Sequence[str], check: Callable[[dict, dict], None], out: str, retries: int,
+    backoff_seconds: float, pool: int, skip: str | None,
+) -> DataFrame:
     if retries <= 0:
         raise ValueError("retries must be positive")
     names = list(request)
+    not_asked = {"reply": None, "error": None, "attempts": 0, "tokens_in": 0, "tokens_out": 0}
 
     def once(values: dict) -> dict:
         error, used_in, used_out = None, 0, 0
@@ -152,10 +195,20 @@ def ask(
                 {n: v.tolist() if hasattr(v, "tolist") else v for n, v in row.items()}
                 for row in pdf[names].to_dict("records")
             ]
-            yield pdf.assign(**{out: [once(r) for r in asked]})
+            passed_over = pdf[skip].tolist() if skip else [False] * len(asked)
+
+            def outcome(r: dict, no: bool) -> dict:
+                return not_asked if no else once(r)
+
+            if pool > 1:
+                with ThreadPoolExecutor(pool) as threads:
+                    outcomes = list(threads.map(outcome, asked, passed_over))
+            else:
+                outcomes = list(map(outcome, asked, passed_over))
+            yield pdf.assign(**{out: outcomes})
 
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return stage(df.mapInPandas(call, f"{columns}, `{out}` {OUTCOME}"), "model")
+    return df.mapInPandas(call, f"{columns}, `{out}` {OUTCOME}")
 
 
 def usage_totals(df: DataFrame, out: str = "outcome") -> DataFrame:

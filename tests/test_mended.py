@@ -7,7 +7,7 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from folioquery.operators import enrichment, lexical, vectors
+from folioquery.operators import enrichment, lexical, models, vectors
 from folioquery.operators.elements import attach_company
 from folioquery.operators.parents import parent_pages
 from folioquery.operators.runner import run_chain
@@ -108,3 +108,44 @@ def test_a_chain_stops_at_the_first_failure(spark, tmp_path):
     got = run_chain(spark, [("a", lambda: stages.write_stage(spark.range(2), path)), ("b", broken), ("c", broken)])
     assert [tuple(r) for r in got.collect()] == [("a", "done", None), ("b", "failed", "ValueError: no input"), ("c", "not run", None)]
     assert stages.read_stage(spark, path).count() == 2
+
+
+class Counted:
+    """Counts its calls in a file; the text ``poison`` ends the task unless it has been cured."""
+
+    def __init__(self, path, cured):
+        self.path, self.cured = path, cured
+
+    def reply(self, request):
+        with open(self.path, "a") as f:
+            f.write(request["text"] + "\n")
+        if request["text"] == "poison" and not self.cured:
+            raise SystemExit("killed")
+        if request["text"] == "odd" and not self.cured:
+            raise ValueError("no reply")
+        return '{"ok": 1}'
+
+
+def test_a_killed_model_stage_goes_on_where_it_stopped(spark, tmp_path):
+    texts = [f"t{i}" for i in range(40)] + ["poison", "odd"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    log, run = str(tmp_path / "calls"), str(tmp_path / "run")
+    parts = {r.text: r.p for r in df.select("text", F.pmod(F.xxhash64("id"), F.lit(8)).alias("p")).collect()}
+    with pytest.raises(Exception):
+        models.ask_durably(df, ["id"], Counted(log, False), ["text"], models.check_object, run, batches=8, retries=1)
+    kept = {t for t in texts if parts[t] < parts["poison"]} - {"odd"}
+    assert kept and spark.read.parquet(run).where("outcome.error is null").count() == len(kept)
+    open(log, "w").close()
+    got = models.ask_durably(df, ["id"], Counted(log, True), ["text"], models.check_object, run, batches=8, pool=3)
+    assert {(r.outcome.reply, r.outcome.error) for r in got.collect()} == {('{"ok": 1}', None)} and got.count() == len(texts)
+    assert sorted(open(log).read().split()) == sorted(set(texts) - kept)
+    open(log, "w").close()
+    models.ask_durably(df, ["id"], Counted(log, True), ["text"], models.check_object, run, batches=8)
+    assert open(log).read() == ""
+
+
+def test_rows_to_skip_are_not_asked(spark, tmp_path):
+    log = str(tmp_path / "calls")
+    df = spark.createDataFrame([("a", True), ("b", False)], "text string, no boolean")
+    got = {r.text: r.outcome for r in models.ask(df, Counted(log, True), ["text"], models.check_object, skip="no").collect()}
+    assert open(log).read() == "b\n" and (got["a"].reply, got["a"].error, got["a"].attempts) == (None, None, 0)
