@@ -137,7 +137,7 @@ def route_questions(questions: DataFrame, keys: DataFrame) -> DataFrame:
     current = questions.select(
         "question_id", F.col("question").alias("rest"),
         F.array().cast("array<string>").alias("hits"), F.lit(None).cast(_KEY).alias("last"),
-    )
+    ).repartition("question_id")  # as the join below asks for: the substrings are then cut in many tasks
     done: DataFrame | None = None
     while True:
         folded = stage(
