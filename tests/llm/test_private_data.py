@@ -52,6 +52,8 @@ HARD = [
     "4111 1111 1111 1111", "4111-1111-1111-1111 4111111111111112", "1 2 3", "0" * 14, "0" * 19, "0" * 20, "1" * 5000,
     "+1 (017) 555-7713", "+1", "+1 2", "++12345678901", "+1234567890+1234567890", "+1 234 567 890 123 456 7", "+4 (1) . 2345678 9 .",
     "mail x@y.zz now", "a" * 3000 + " " + "a." * 2000 + "@", ("a@b.cc " * 300), "\x1d1.1.1.1\u2028+12345678901",
+    "12 34 " * 4000, "1--" + "4111 1111-1111 1111" + "  5", "9 4111111111111111", "1-2 3-" + "4111111111111111", "7" * 13, "x5 " * 9000,
+    "4111  1111 1111 1111", "04 11- 11", "a1234567 8901234-5", "-4111111111111111-", "5 4-111111111111111",
     "GB82 WEST 1234 5698 7654 32", "GB82 WEST 1234 5698 7654 33", "ssn: 123-45-6789", "123-45-6789", "call 212-555-0187", "212-555-0187",
 ]
 
