@@ -4,15 +4,21 @@ A document is the set of its distinct word shingles. Every permutation gives two
 signature values, its minimum and its maximum over the set, so a signature of 2k values
 needs k hash evaluations per shingle. Bands of consecutive values propose candidates;
 proposals only decide which documents meet. Documents that share a band key, directly or
-through others, form a cluster, and inside clusters every pair is confirmed on the full
+through others, form a cluster, and inside clusters links are confirmed on the full
 sets. Clusters are cut into blocks of bounded size; one task compares two blocks and
 returns, per document, the smallest document of its local component: never a list of
 pairs. Equal sets are one class throughout, so exact copies cost one set.
 
+A cluster of several blocks first meets a few of its own documents, its hubs. Documents
+that hubs link already are one group and are not compared with each other again; only
+blocks of different groups, and those of documents without a hub, still meet. A large
+group of copies of one text so costs work linear in its size, and no link between
+groups is lost.
+
 Defined results: fewer words than a shingle make one shingle of the whole sequence; a
 null, empty or blank text has an empty set and is linked with nothing. Repeated rows of
 one id are one document with the union of their links (they share the id). Other columns
-are are ignored. An empty table gives an empty result. A null id never names a group: such a
+are ignored. An empty table gives an empty result. A null id never names a group: such a
 row is kept unless a row with an id has an equal set.
 """
 
@@ -23,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioquery.llm.common import HashCache, grouped, packed, shingle_hashes, slices, stage, unpacked
@@ -37,6 +43,8 @@ PERMUTATIONS_PER_BAND = 4
 #: Documents of one block of a cluster, and shingles it holds on average at most.
 BLOCK_DOCS = 128
 BLOCK_SHINGLES = 400_000
+#: Hubs of a cluster of several blocks at most.
+HUBS = 16
 
 _rng = np.random.default_rng(20240501)
 _K = BANDS * PERMUTATIONS_PER_BAND
@@ -171,6 +179,60 @@ def confirm_groups(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["a", "b"])
 
 
+def _blocks() -> Column:
+    """Blocks that a set of members is cut into."""
+    return F.ceil(F.greatest(F.count("*") / BLOCK_DOCS, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+
+
+def _hub_pairs(sets: DataFrame, member: DataFrame) -> DataFrame:
+    """Hubs against the members of their cluster, a block of members at a time.
+
+    A hub is the member of most band collisions among those of its hash, so a text that
+    many are copies of is one.
+    """
+    hubs = member.groupBy("cluster", F.pmod(F.xxhash64("rep"), F.lit(HUBS)).alias("nth")).agg(
+        F.max_by("rep", F.struct("degree", "rep")).alias("rep")
+    ).select("rep", F.lit(True).alias("is_hub"))
+    own = F.array(F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    return sets.join(hubs.hint("merge"), "rep", "left").select(
+        "rep", "cluster", "shingles",
+        F.explode(F.when(F.col("is_hub"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(own)).alias("i"),
+        F.lit(-1).alias("j"), F.when(F.col("is_hub"), 0).otherwise(1).alias("side"),
+    )
+
+
+def _block_pairs(sets: DataFrame, member: DataFrame, groups: DataFrame) -> DataFrame:
+    """Block against block, but for two blocks of one group of linked documents.
+
+    A cluster has at most HUBS groups, as each holds a hub, and the documents of none.
+    """
+    grouped_member = member.select("rep", "cluster", "n_shingles").join(
+        groups.select(F.col("id").alias("rep"), F.col("component").alias("group")), "rep", "left"
+    )
+    within = Window.partitionBy("cluster")
+    layout = grouped_member.groupBy("cluster", "group").agg(_blocks()).select(
+        "cluster", "group", "blocks", F.sum("blocks").over(within).cast("int").alias("total"),
+        (F.sum("blocks").over(within.orderBy("group")) - F.col("blocks")).cast("int").alias("start"),
+    )
+    place = grouped_member.alias("m").join(
+        layout.alias("l"), (F.col("m.cluster") == F.col("l.cluster")) & F.col("m.group").eqNullSafe(F.col("l.group"))
+    ).select(
+        F.col("m.rep"), "start", "total", (F.col("start") + F.col("blocks")).alias("end"),
+        F.col("m.group").isNotNull().alias("linked"),
+        (F.col("start") + F.pmod(F.xxhash64("m.rep"), F.col("blocks"))).cast("int").alias("block"),
+    )
+    none = F.array().cast("array<int>")
+    before = F.when(F.col("start") > 0, F.sequence(F.lit(0), F.col("start") - 1)).otherwise(none)
+    after = F.when(F.col("end") < F.col("total"), F.sequence(F.col("end"), F.col("total") - 1)).otherwise(none)
+    others = F.when(F.col("linked"), F.concat(before, after)).otherwise(F.sequence(F.lit(0), F.col("total") - 1))
+    return sets.join(place.hint("merge"), "rep").select(
+        "rep", "cluster", "shingles", "block", F.explode(others).alias("other")
+    ).select(
+        "rep", "cluster", "shingles", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+        F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"),
+    )
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept per row; links are sets with a Jaccard similarity of percent / 100."""
     sketches = stage(sketch(docs), "minhash-sketch")
@@ -184,21 +246,23 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
         classes.select(F.col("rep").alias("doc_id"), "set_key"), ["doc_id", "set_key"], "left_semi"
     )
     keyed = reps.select("doc_id", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
-    meets = keyed.join(shared, "key").filter("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    shared = keyed.groupBy("key").agg(
+        F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")
+    ).filter("first < last")
+    # at most BANDS first documents per document
+    met = stage(
+        keyed.join(shared, "key").groupBy("doc_id").agg(F.collect_set("first").alias("firsts"), F.sum("n").alias("degree")),
+        "minhash-met",
+    )
+    meets = met.select(F.col("doc_id").alias("a"), F.explode("firsts").alias("b"))
     clusters = stage(connected_components(meets, "minhash-meets"), "minhash-clusters")
 
     # blocks: as many per cluster as its documents or shingles ask for
     member = clusters.select(F.col("id").alias("rep"), F.col("component").alias("cluster")).join(
         classes.select("rep", "n_shingles"), "rep"
-    )
+    ).join(met.select(F.col("doc_id").alias("rep"), "degree"), "rep")
     member = stage(member, "minhash-members")
-    blocks = member.groupBy("cluster").agg(
-        F.ceil(F.greatest(F.count("*") / BLOCK_DOCS, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks")
-    )
-    placed = member.join(blocks, "cluster").withColumn(
-        "block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    ).select("rep", "cluster", "blocks", "block")
+    placed = member.join(member.groupBy("cluster").agg(_blocks()), "cluster").select("rep", "cluster", "blocks")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = HashCache()
@@ -211,18 +275,24 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
                 at += len(texts)
 
     # the members grow with the corpus: they are never broadcast, whatever their number
-    texts = docs.select("doc_id", "text").join(placed.hint("merge"), F.col("doc_id") == F.col("rep")).select(
-        "rep", "cluster", "blocks", "block", "text"
-    ).mapInArrow(shingled, "rep long, cluster long, blocks int, block int, shingles binary")
-    paired = texts.select(
-        "rep", "cluster", "shingles", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    ).select(
-        "rep", "cluster", "shingles", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-        F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"),
-    )
-    links = paired.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(
-        lambda batches: confirm_groups(batches, percent), "a long, b long"
+    sets = stage(
+        docs.select("doc_id", "text").join(placed.hint("merge"), F.col("doc_id") == F.col("rep"))
+        .select("rep", "cluster", "blocks", "text")
+        .mapInArrow(shingled, "rep long, cluster long, blocks int, shingles binary"),
+        "minhash-sets",
     )
+    wide, wide_member = sets.filter("blocks > 1"), member.join(placed.filter("blocks > 1").select("rep", "blocks"), "rep")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        return pairs.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(
+            lambda batches: confirm_groups(batches, percent), "a long, b long"
+        )
+
+    by_hub = stage(confirmed(_hub_pairs(wide, wide_member)), "minhash-hubs")
+    groups = stage(connected_components(by_hub, "minhash-hub-links"), "minhash-groups")
+    one = F.lit(0).cast("int")
+    narrow = sets.filter("blocks = 1").select("rep", "cluster", "shingles", one.alias("i"), one.alias("j"), one.alias("side"))
+    links = by_hub.union(confirmed(narrow.union(_block_pairs(wide, wide_member, groups))))
     joined = connected_components(links, "minhash-links")
     found = classes.select("set_key", "rep").join(joined.withColumnRenamed("id", "rep"), "rep", "left").select(
         "set_key", F.coalesce("component", "rep").alias("component_id")

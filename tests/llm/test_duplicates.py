@@ -53,10 +53,11 @@ def near_copies(rng, count=60, base=120):
     return rows
 
 
-@pytest.mark.parametrize("block", [4, 128])
+@pytest.mark.parametrize("block,hubs", [(4, 1), (4, 16), (3, 2), (128, 16)])
 @pytest.mark.parametrize("percent", [80, 85])
-def test_minhash_equals_brute_force(spark, monkeypatch, block, percent):
+def test_minhash_equals_brute_force(spark, monkeypatch, block, hubs, percent):
     monkeypatch.setattr(minhash, "BLOCK_DOCS", block)
+    monkeypatch.setattr(minhash, "HUBS", hubs)
     rng = random.Random(block + percent)
     rows = near_copies(rng)
     rows += [(1001, rows[3][1]), (1002, rows[3][1].upper()), (1003, "a b"), (1004, "A  B"), (1005, None), (1006, ""),
