@@ -13,11 +13,8 @@ from folioquery.plans.structure import document_chunks
 from folioquery.sources.tables import table
 
 
-SOURCES = 20  # a question is asked of one source, as a routed question is of one report
-
-
-def route_of_id(column):
-    return F.concat(F.lit("src"), F.col(column) % SOURCES)
+SOURCES = 20  # of the SQL below, which still asks a question of one source only
+EVERYTHING = "all"  # the one route of the searches: a question meets every document and every vector
 
 
 # ---- lexical ---------------------------------------------------------------------
@@ -93,22 +90,22 @@ hybrid AS (
 )"""
 
 
-def lexical_corpus(spark, folder):
+def lexical_corpus(spark, folder, route):
     return table(spark, folder, "documents").select(
-        F.col("source").alias("route"), F.col("doc_id").alias("chunk_id"), "text"
+        route.alias("route"), F.col("doc_id").alias("chunk_id"), "text"
     )
 
 
 def asked_questions(spark, folder):
     return table(spark, folder, "benchmark").select(
-        route_of_id("item_id").alias("route"), F.col("item_id").alias("question_id"), "text"
+        F.lit(EVERYTHING).alias("route"), F.col("item_id").alias("question_id"), "text"
     )
 
 
 @query("bm25_term_stats", f"""
 WITH {LEXICAL_STATS} SELECT source, term, df, round(idf, 6) AS idf FROM idf""")
 def bm25_term_stats(spark, folder):
-    stats = lexical.term_stats(lexical.build_index(lexical_corpus(spark, folder)))
+    stats = lexical.term_stats(lexical.build_index(lexical_corpus(spark, folder, F.col("source"))))
     return stats.select(F.col("route").alias("source"), "term", "df", F.round("idf", 6).alias("idf"))
 
 
@@ -122,7 +119,7 @@ SELECT source, n AS n_chunks, round(any_value(avgdl), 6) AS avgdl, count(*) AS n
 FROM df JOIN size USING (source) GROUP BY source, n""")
 def bm25_source_stats(spark, folder):
     """Index statistics with every source as one indexed report."""
-    stats = lexical.corpus_stats(lexical.build_index(lexical_corpus(spark, folder)))
+    stats = lexical.corpus_stats(lexical.build_index(lexical_corpus(spark, folder, F.col("source"))))
     return stats.select(
         F.col("route").alias("source"), "n_chunks", F.round("avgdl", 6).alias("avgdl"), "n_terms",
         F.round("mean_idf", 6).alias("mean_idf"),
@@ -130,7 +127,7 @@ def bm25_source_stats(spark, folder):
 
 
 def bm25_hits(spark, folder):
-    index = lexical.build_index(lexical_corpus(spark, folder))
+    index = lexical.build_index(lexical_corpus(spark, folder, F.lit(EVERYTHING)))
     return lexical.bm25_topk(index, asked_questions(spark, folder))
 
 
@@ -144,7 +141,7 @@ def bm25_topk(spark, folder):
 
 def cosine_hits(spark, folder):
     vectors_ = table(spark, folder, "embeddings").select(
-        route_of_id("vec_id").alias("route"), F.col("vec_id").alias("chunk_id"), "embedding"
+        F.lit(EVERYTHING).alias("route"), F.col("vec_id").alias("chunk_id"), "embedding"
     )
     question_vectors = table(spark, folder, "embeddings").select(
         F.col("vec_id").alias("question_id"), "embedding"
