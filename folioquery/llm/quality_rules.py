@@ -23,12 +23,12 @@ from pyspark.sql import functions as F
 
 from folioquery.llm.common import HashCache, held_out, read, shingle_hashes, slices, words
 
-#: Buckets of the multinomials.
+#: Buckets of the multinomials at least; their number follows the root of the corpus's n-grams, as distinct ones do.
 BUCKET_BITS = 14
 BUCKETS = 1 << BUCKET_BITS
 NGRAMS = (3, 4)
-#: At most so many labelled rows (the lowest id hashes) make the trusted target.
-TRUSTED_ROWS = 20_000
+#: N-grams a task holds before it adds them to its counts.
+PENDING_NGRAMS = 1 << 20
 #: Mean log ratio a document must reach: MIN_SCORE less SHORT_SLACK over the root of its words, as the mean of few
 #: n-grams scatters more.
 MIN_SCORE = -0.27
@@ -49,7 +49,12 @@ METRICS_DDL = (
 )
 
 
-def ngram_buckets(text: str | None) -> np.ndarray:
+def bucket_bits(ngrams: int) -> int:
+    """Bits of a bucket number for a corpus of so many n-grams."""
+    return max(BUCKET_BITS, (max(1, ngrams).bit_length() + 1) // 2)
+
+
+def ngram_buckets(text: str | None, bits: int = BUCKET_BITS) -> np.ndarray:
     """Buckets of all n-grams of a text; none if it is shorter than the smallest."""
     b = np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8).astype(np.uint32)
     found = []
@@ -59,7 +64,7 @@ def ngram_buckets(text: str | None) -> np.ndarray:
             for i in range(n):
                 x = x * np.uint32(0x01000193) ^ b[i : len(b) - n + 1 + i]
             x *= np.uint32(0x9E3779B1)
-            found.append(x >> np.uint32(32 - BUCKET_BITS))
+            found.append(x >> np.uint32(32 - bits))
     return np.concatenate(found).astype(np.int64) if found else np.zeros(0, np.int64)
 
 
@@ -95,7 +100,7 @@ def describe(text: str | None, cache: HashCache, ratio: np.ndarray) -> tuple:
     h = cache.of(w)
     repeat = repeated_words(h)
     failed = len(w) < MIN_WORDS or 100 * repeat > MAX_REPEAT_PERCENT * len(w)
-    grams = ngram_buckets(text)
+    grams = ngram_buckets(text, len(ratio).bit_length() - 1)
     score = float(ratio[grams].mean()) if len(grams) else 0.0
     chars = len(text) - sum(map(text.count, " \t\n\v\f\r"))
     return (
@@ -105,61 +110,62 @@ def describe(text: str | None, cache: HashCache, ratio: np.ndarray) -> tuple:
 
 
 def trusted_ids(spark: SparkSession, folder: str) -> DataFrame:
-    """Ids of the trusted documents: labelled good, outside the held-out fold, at most TRUSTED_ROWS."""
+    """Ids of the trusted documents: all that are labelled good outside the held-out fold."""
     return (
         read(spark, folder, "labels").filter((F.col("quality") == 1) & ~held_out(F.col("doc_id")))
-        .select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRUSTED_ROWS)
+        .select("doc_id").distinct()
     )
 
 
-def bucket_counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+def bucket_counts(docs: DataFrame, trusted: DataFrame, bits: int = BUCKET_BITS) -> DataFrame:
     """Corpus and trusted n-gram counts per bucket: bucket, raw, target.
 
-    Each task adds up two fixed-size arrays over all its texts and emits them once.
-    ``trusted`` (doc_id) is broadcast: the caller bounds it.
+    Each task adds up one array over all its texts and emits it once. The trusted ids
+    grow with the corpus: they are never broadcast, and null ids take no part in the join.
     """
 
     def count(batches):
-        total = np.zeros((2, BUCKETS), np.int64)
+        total, pending, held = np.zeros(1 << bits, np.int64), [], 0
         for batch in batches:
-            flags = batch.column(1).to_pylist()
-            at = 0
             for texts in slices(batch.column(0)):
                 for text in texts:
-                    got = np.bincount(ngram_buckets(text), minlength=BUCKETS)
-                    total[0] += got
-                    if flags[at]:
-                        total[1] += got
-                    at += 1
-        used = np.flatnonzero(total[0])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(used), pa.array(total[0][used]), pa.array(total[1][used])], ["bucket", "raw", "target"]
-        )
-
-    marked = docs.select("doc_id", "text").join(
-        F.broadcast(trusted.withColumn("is_trusted", F.lit(True))), "doc_id", "left"
-    )
+                    pending.append(ngram_buckets(text, bits))
+                    held += len(pending[-1])
+                    if held >= PENDING_NGRAMS:
+                        total += np.bincount(np.concatenate(pending), minlength=1 << bits)
+                        pending, held = [], 0
+        if held:
+            total += np.bincount(np.concatenate(pending), minlength=1 << bits)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["bucket", "n"])
+
+    def counted(texts: DataFrame) -> DataFrame:
+        return texts.select("text").mapInArrow(count, "bucket long, n long")
+
+    known = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull()).join(trusted.hint("merge"), "doc_id", "left_semi")
+    none = F.lit(0).cast("long")
     return (
-        marked.select("text", F.coalesce("is_trusted", F.lit(False)).alias("is_trusted"))
-        .mapInArrow(count, "bucket long, raw long, target long")
+        counted(docs).select("bucket", F.col("n").alias("raw"), none.alias("target"))
+        .unionByName(counted(known).select("bucket", none.alias("raw"), F.col("n").alias("target")))
         .groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     )
 
 
-def log_ratios(counts: pd.DataFrame) -> np.ndarray:
+def log_ratios(counts: pd.DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     """Log ratio of the smoothed trusted and corpus multinomials, per bucket."""
-    raw, target = np.ones(BUCKETS), np.ones(BUCKETS)
+    raw, target = np.ones(buckets), np.ones(buckets)
     if not len(counts) or counts["target"].sum() == 0:
-        return np.zeros(BUCKETS)
+        return np.zeros(buckets)
     np.add.at(raw, counts["bucket"].to_numpy(), counts["raw"].to_numpy())
     np.add.at(target, counts["bucket"].to_numpy(), counts["target"].to_numpy())
     return np.log(target / target.sum()) - np.log(raw / raw.sum())
 
 
 def fit(docs: DataFrame, folder: str) -> np.ndarray:
-    """Ratios of a corpus; at most BUCKETS rows reach the driver."""
-    spark = docs.sparkSession
-    return log_ratios(bucket_counts(docs, trusted_ids(spark, folder)).toPandas())
+    """Ratios of a corpus; at most one row per bucket reaches the driver."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = bucket_bits(len(NGRAMS) * size)
+    return log_ratios(bucket_counts(docs, trusted_ids(docs.sparkSession, folder), bits).toPandas(), 1 << bits)
 
 
 def verdict(text: Column, ratio: np.ndarray) -> Column:

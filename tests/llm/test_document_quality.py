@@ -111,3 +111,17 @@ def test_rules_on_odd_rows(spark):
     kept = R.keep_good(docs, SF)
     assert kept.columns == docs.columns and kept.count() <= len(ODD) + 2
     assert R.judge_documents(docs.limit(0), SF).count() == 0
+
+
+def test_every_trusted_document_counts(spark, tmp_path):
+    spark.range(31_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality")).write.parquet(f"{tmp_path}/labels.parquet")
+    want = [i for i in range(31_000) if zlib.crc32(str(i).encode()) % 3 != 1]
+    trusted = R.trusted_ids(spark, str(tmp_path))
+    docs = spark.range(31_000).select(F.col("id").alias("doc_id"), F.lit("abc").alias("text"))
+    assert len(want) > 20_000 and R.bucket_counts(docs, trusted).toPandas().target.sum() == len(want)
+
+
+def test_buckets_grow_with_the_corpus():
+    assert [R.bucket_bits(n) for n in (0, 1 << 27, 1 << 33, 1 << 40)] == [14, 14, 17, 21]
+    assert R.ngram_buckets("some text of a corpus", 21).max() >= R.BUCKETS
+    assert R.describe("good words", HashCache(), np.ones(1 << 17))[6] == 1
