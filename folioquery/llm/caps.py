@@ -11,14 +11,17 @@ block. A pair that shares several filters counts in the first of them only. Per
 and block pair one row leaves a task: its links and the smallest vector of its local
 component, never a list of pairs. Equal vectors are one class with a count.
 
+Vectors are compared with those of their own length only; every length has its own filters.
+
 Defined results: null or zero vectors and vectors with null or non-finite components link
-with nothing, and so do vectors of another length than most. Repeated rows are copies.
+with nothing. Repeated rows are copies.
 Labels and other columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -74,6 +77,12 @@ class ProductCode:
         return out
 
 
+@lru_cache(maxsize=8)
+def product_code(dim: int) -> ProductCode:
+    """The code of a length; a worker keeps the last few."""
+    return ProductCode(dim)
+
+
 def _unit(rows: np.ndarray) -> np.ndarray:
     x = rows.astype(np.float64)
     x /= np.abs(x).max(axis=1, keepdims=True)  # no square over- or underflows
@@ -115,11 +124,12 @@ def compare_block(
 
 
 def compare_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """compare_block over rows sorted by filter, i, j."""
-    for table, borders in grouped(batches, ["filter", "i", "j"]):
+    """compare_block over rows sorted by dim, filter, i, j."""
+    for table, borders in grouped(batches, ["dim", "filter", "i", "j"]):
         column = {n: table.column(n).to_numpy() for n in ("filter", "i", "j", "side", "rep", "copies")}
         vectors = table.column("embedding").combine_chunks()
-        x = _unit(vectors.flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1))
+        values = vectors.flatten().to_numpy(zero_copy_only=False)
+        at = np.cumsum(np.r_[0, vectors.value_lengths().to_numpy()])
         lists = table.column("filters").combine_chunks()
         names = lists.flatten().to_numpy()
         ends = np.cumsum(np.r_[0, lists.value_lengths().to_numpy()])
@@ -128,7 +138,7 @@ def compare_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             if b - a < 2:
                 continue
             got = compare_block(
-                x[a:b], column["rep"][a:b], column["copies"][a:b], column["side"][a:b],
+                _unit(values[at[a] : at[b]].reshape(b - a, -1)), column["rep"][a:b], column["copies"][a:b], column["side"][a:b],
                 column["i"][a] == column["j"][a], column["filter"][a], [names[ends[k] : ends[k + 1]] for k in range(a, b)],
             )
             if got:
@@ -147,53 +157,50 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
         & F.exists("embedding", lambda v: v != 0) & F.col("vec_id").isNotNull(), F.lit(False),
     )
     usable = all_rows.filter(whole).select("vec_id", "embedding", F.size("embedding").alias("dim"))
-    common = usable.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
-    if common is None:
-        return all_rows.select(
-            "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept")
-        )
-    dim = common["dim"]
     classes = stage(
-        usable.filter(F.col("dim") == dim).groupBy("embedding")
-        .agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")),
+        usable.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("dim").alias("dim")),
         "caps-classes",
     )
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = ProductCode(dim)
         for batch in batches:
-            for at in range(0, len(batch), 1024):
-                part = batch.slice(at, 1024)
-                x = np.stack(part.column("embedding").to_numpy(zero_copy_only=False))
-                filters = code.decode(_unit(x))
+            for start in range(0, len(batch), 1024):
+                part = batch.slice(start, 1024)
+                rows = part.column("embedding").to_numpy(zero_copy_only=False)
+                dims = part.column("dim").to_numpy()
+                filters = [None] * len(rows)
+                for dim in np.unique(dims):
+                    own = np.flatnonzero(dims == dim)
+                    for k, f in zip(own, product_code(int(dim)).decode(_unit(np.stack(rows[own]))), strict=True):
+                        filters[k] = f
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(filters, pa.list_(pa.int32()))], [*part.schema.names, "filters"]
                 )
 
     kind = dict(vectors.dtypes)["embedding"]
     decoded = stage(
-        classes.select("rep", "copies", "embedding").mapInArrow(
-            decode, f"rep long, copies long, embedding {kind}, filters array<int>"
+        classes.select("rep", "copies", "dim", "embedding").mapInArrow(
+            decode, f"rep long, copies long, dim int, embedding {kind}, filters array<int>"
         ), "caps-filters",
     )
     # filters with one vector have nothing to compare; others are cut into blocks
-    crowded = decoded.select(F.explode("filters").alias("filter")).groupBy("filter").agg(
+    crowded = decoded.select("dim", F.explode("filters").alias("filter")).groupBy("dim", "filter").agg(
         F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("members")
     ).filter("members > 1").drop("members")
-    member = decoded.select("rep", "copies", "embedding", "filters", F.explode("filters").alias("filter")).join(
-        crowded, "filter"
+    member = decoded.select("rep", "copies", "dim", "embedding", "filters", F.explode("filters").alias("filter")).join(
+        crowded, ["dim", "filter"]
     )
     block = F.pmod(F.xxhash64("rep", "filter"), F.col("blocks")).cast("int")
     paired = member.withColumn("block", block).select(
-        "rep", "copies", "embedding", "filters", "filter", "block",
+        "rep", "copies", "dim", "embedding", "filters", "filter", "block",
         F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"),
     ).select(
-        "rep", "copies", "embedding", "filters", "filter",
+        "rep", "copies", "dim", "embedding", "filters", "filter",
         F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
         F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"),
     )
     found = stage(
-        paired.repartition("filter", "i", "j").sortWithinPartitions("filter", "i", "j")
+        paired.repartition("dim", "filter", "i", "j").sortWithinPartitions("dim", "filter", "i", "j")
         .mapInArrow(compare_groups, "vec long, links long, root long"),
         "caps-links",
     )

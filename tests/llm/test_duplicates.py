@@ -147,3 +147,18 @@ def test_vectors_that_link_with_nothing(spark):
     assert got == sorted(alone + [(1, 4, 1, True), (2, 4, 1, False), (9, 4, 1, False), (9, 4, 1, False), (11, 4, 1, False)])
     assert caps.near_duplicates(df.limit(0)).count() == 0
     assert caps.near_duplicates(df.filter("vec_id = 3")).collect()[0].kept
+
+
+def test_every_length_is_compared_within_itself(spark):
+    rng = np.random.default_rng(4)
+    rows, want = [], {}
+    for n, dim in enumerate((64, 63, 3)):
+        x = rng.normal(size=(6, dim))
+        x[1] = x[0]
+        x[2] = 2 * x[0]
+        ids = [100 * n + i for i in range(len(x))]
+        rows += [(i, v.tolist()) for i, v in zip(ids, x)]
+        want |= brute_vectors(ids, x)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in caps.near_duplicates(df).collect()}
+    assert got == want
