@@ -1,8 +1,8 @@
 """Embedding near-duplicates by spherical-cap filters.
 
 A filter is a direction; a vector belongs to every filter whose direction it is close
-enough to, so near vectors share filters. Directions are structured: the dimensions are
-cut into blocks with a random code of unit vectors each, and one code word per block
+enough to, so near vectors share filters. Directions are structured: the dimensions, after a
+fixed random rotation, are cut into blocks with a random code of unit vectors each, and one code word per block
 makes a direction (a product code). The filters of a vector are found by list decoding:
 block scores are sorted and only combinations that can reach the threshold are visited.
 
@@ -38,27 +38,34 @@ CODE_WORDS = 512
 THRESHOLD = 3.6
 #: A vector with fewer filters than this takes its nearest ones instead.
 LEAST_FILTERS = 12
+#: Shorter vectors are filtered as vectors of this length that end in zeros: a threshold needs this many dimensions.
+LEAST_DIM = 64
 #: Vectors of one block of a filter.
 BLOCK = 128
 
 
 class ProductCode:
-    """Filters of one dimension: two blocks of CODE_WORDS random unit vectors."""
+    """Filters of one length: two blocks of CODE_WORDS random unit vectors, in two halves of a random rotation.
+
+    The rotation spreads every vector alike, whichever of its components hold its energy.
+    """
 
     def __init__(self, dim: int, code_words: int = CODE_WORDS, seed: int = 7):
         rng = np.random.default_rng(seed)
-        self.half = dim // 2
+        size = max(dim, LEAST_DIM)
+        half = size // 2
         self.words = code_words
+        turn = np.linalg.qr(rng.standard_normal((size, size)))[0][:, :dim]
         self.codes = []
-        for width in (self.half, dim - self.half):
-            c = rng.standard_normal((code_words, max(1, width)))
-            self.codes.append(c / np.linalg.norm(c, axis=1, keepdims=True) / np.sqrt(2))
-        self.threshold = THRESHOLD / np.sqrt(max(2, dim))
+        for rows in (turn[:half], turn[half:]):
+            c = rng.standard_normal((code_words, len(rows)))
+            # code words are turned back once, so no vector has to be turned
+            self.codes.append(c / np.linalg.norm(c, axis=1, keepdims=True) / np.sqrt(2) @ rows)
+        self.threshold = THRESHOLD / np.sqrt(size)
 
     def decode(self, x: np.ndarray) -> list[np.ndarray]:
         """Filters of every unit vector (row), increasing."""
-        first = x[:, : max(1, self.half)] @ self.codes[0][:, : x.shape[1]].T
-        second = x[:, self.half :] @ self.codes[1].T
+        first, second = x @ self.codes[0].T, x @ self.codes[1].T
         out = []
         for a, b in zip(first, second, strict=True):
             best = b.max()

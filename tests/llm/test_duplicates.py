@@ -162,3 +162,18 @@ def test_every_length_is_compared_within_itself(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = {r.vec_id: (r.n_links, r.component_id) for r in caps.near_duplicates(df).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("scale", [
+    np.ones(2), np.ones(4), np.ones(8), np.ones(13), np.ones(24), np.ones(33), np.ones(64), np.r_[np.ones(32), np.full(32, 0.05)],
+    np.r_[np.ones(8), np.full(56, 0.02)], 1 / np.arange(1, 65),
+], ids=["2", "4", "8", "13", "24", "33", "64", "half", "first8", "rank"])
+def test_near_pairs_share_a_filter(scale):
+    rng = np.random.default_rng(9)
+    x, y = (rng.normal(size=(400, len(scale))) * scale for _ in range(2))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y = 0.951 * x + np.sqrt(1 - 0.951**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    code = caps.ProductCode(len(scale))
+    shared = [np.intersect1d(a, b).size > 0 for a, b in zip(code.decode(x), code.decode(y))]
+    assert np.mean(shared) >= 0.95
