@@ -304,8 +304,31 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     )
 
 
+def _row_ids(docs: DataFrame) -> DataFrame:
+    """doc and text of every row with row_id: doc_id, but a hash above 2^62 for a null id and for further texts of an id.
+
+    Rows of one id with different texts are so judged apart.
+    """
+    rows = packed(docs, "doc_id", "text").withColumn("text_hash", F.xxhash64("text"))
+    several = stage(
+        rows.filter("doc_id is not null").groupBy("doc_id").agg(
+            F.min("text_hash").alias("first_hash"), F.max("text_hash").alias("last_hash")
+        ).filter("first_hash < last_hash").drop("last_hash"),
+        "minhash-repeated-ids",
+    )
+    high = F.lit(1 << 62)
+    hashed = F.xxhash64("doc_id", "text").bitwiseAND(high - 1).bitwiseOR(high)
+    other = F.col("doc_id").isNull() | F.coalesce(F.col("text_hash") != F.col("first_hash"), F.lit(False))
+    return rows.join(several, "doc_id", "left").select("doc", "text", F.when(other, hashed).otherwise(F.col("doc_id")).alias("row_id"))
+
+
 def keep_first(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """The documents with the smallest id of their group, with their own columns."""
-    kept = near_duplicates(docs, percent).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = packed(docs, "doc_id").join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return unpacked(rows.dropDuplicates(["doc_id"]), docs.columns)
+    """One row of each group of linked texts, that of the smallest id, and all rows with a blank text; with their own columns."""
+    rows = _row_ids(docs)
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    texts = rows.filter(worded)
+    kept = near_duplicates(texts.select(F.col("row_id").alias("doc_id"), "text"), percent).filter("kept").select(
+        F.col("doc_id").alias("row_id")
+    ).distinct()
+    one = texts.select("doc", "row_id").join(kept, "row_id", "left_semi").dropDuplicates(["row_id"])
+    return unpacked(one.select("doc").unionByName(rows.filter(~worded).select("doc")), docs.columns)

@@ -177,3 +177,16 @@ def test_near_pairs_share_a_filter(scale):
     code = caps.ProductCode(len(scale))
     shared = [np.intersect1d(a, b).size > 0 for a, b in zip(code.decode(x), code.decode(y))]
     assert np.mean(shared) >= 0.95
+
+
+def test_null_and_repeated_ids_lose_no_text(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = " ".join([*base[:-1], "other"])
+    rows = [(None, "first text"), (None, "second text"), (None, "second text"), (None, "p q r"), (4, "p q r"), (None, None), (None, " "),
+            (5, " ".join(base)), (5, "unlinked words"), (5, "unlinked words"), (3, near), (None, near), (9, ""), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in minhash.keep_first(docs).collect()), key=repr)
+    want = [(None, "first text"), (None, "second text"), (4, "p q r"), (None, None), (None, " "), (5, "unlinked words"), (9, ""), (9, "")]
+    assert [p for p in got if p[1] not in (near, rows[7][1])] == sorted(want, key=repr)
+    assert [p for p in got if p[1] in (near, rows[7][1])] in ([(3, near)], [(5, rows[7][1])])
+    assert minhash.keep_first(docs.limit(0)).count() == 0
