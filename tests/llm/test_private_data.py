@@ -107,3 +107,14 @@ def test_redaction(spark):
 def test_no_python_in_the_plan(spark):
     plan = QUERIES["op2_pii"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+@pytest.mark.parametrize("text,spans", [
+    ("IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX", "iban:5:32"), ("GB82WEST12345698765432 I", "iban:0:22"),
+    ("DE89 3704 0044 0532 0130 00 2024", "iban:0:27"),
+    ("DE89 3704 0044 0532 0130 00 GB82 WEST 1234 5698 7654 32 X", "iban:0:27,iban:28:55"),
+    ("NO9386011117947 BE68539007547034", "iban:0:15,iban:16:32"), ("GB82WEST12345698765432I", ""), ("AB12 DE89370400440532013000", "iban:5:27"),
+])
+def test_an_account_number_ends_where_its_country_says(spark, text, spans):
+    found = pii.report(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().spans
+    assert ",".join(x for x in found.split(",") if x.startswith("iban")) == spans
