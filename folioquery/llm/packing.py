@@ -17,111 +17,45 @@ packed one by one; other columns are ignored; an empty table gives no pieces.
 from __future__ import annotations
 
 import bisect
-import functools
-import re
+import itertools
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioquery.llm.common import slices, stage
+from folioquery.llm.common import stage
+from folioquery.llm.tokens import byte_slices, default_tokenizer, word_ids
 
 CAPACITY = 2048
 CLOSING_ID = 0
 RANK_SLICES = 8192
 #: Slices hold at least so many pieces on average.
 MIN_SLICE = 64
-#: Entries of one generation of a worker's caches; two generations are kept.
-CACHE_ENTRIES = 200_000
-#: A word of Latin letters, whose lower case has as many, and signs after it. The tokenizer lower-cases and parts letters
-#: from signs, so such a run has the ids of the lower-case word and those of its signs. No sign here is an apostrophe.
-WORD_AND_SIGNS = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
 PIECES_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
 
-def default_tokenizer() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
-
-
-class Generations(dict):
-    """A cache of ``make``'s values: when it is full it becomes the old generation, from which used entries return."""
-
-    def __init__(self, make: Callable[[str], bytes]):
-        super().__init__()
-        self.make, self.old = make, {}
-
-    def __missing__(self, key: str) -> bytes:
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(self) >= CACHE_ENTRIES:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
-        return value
-
-
-class RunIds:
-    """Token ids of runs between blanks, as little-endian unsigned 32-bit bytes.
-
-    The tokenizer never joins characters across white space, so the ids of a text are
-    those of its runs one after another.
-    """
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer, pre_tokenizers
-
-        self.tokenizer = Tokenizer.from_file(path)
-        # lower-case words of Latin letters need neither its normalizer nor its splitting
-        self.merges = Tokenizer(self.tokenizer.model)
-        self.merges.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.words = Generations(lambda word: self._bytes(self.merges, word))
-        self.signs = Generations(lambda signs: self._bytes(self.tokenizer, signs))
-        self.runs = Generations(self._run)
-
-    @staticmethod
-    def _bytes(tokenizer, text: str) -> bytes:
-        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _run(self, run: str) -> bytes:
-        parts = WORD_AND_SIGNS.fullmatch(run)
-        if parts is None:
-            return self._bytes(self.tokenizer, run)
-        return self.words[parts[1].lower()] + self.signs[parts[2]]
-
-    def of(self, text: str) -> bytes:
-        return b"".join(map(self.runs.__getitem__, text.replace("\n", " ").split(" ")))
-
-
-@functools.lru_cache(maxsize=2)
-def _run_ids(path: str) -> RunIds:
-    return RunIds(path)
-
-
 def tokenize(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Pieces of the documents: doc_id, piece, start, length, ids_crc32 and, if asked for, ids (bytes)."""
     path = path or default_tokenizer()
     closing = np.array([CLOSING_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs = _run_ids(path)
+        tokenizer = word_ids(path)
         for batch in batches:
-            ids, at = batch.column(0).to_pylist(), 0
-            for texts in slices(batch.column(1)):
+            doc_ids = batch.column(0).to_pylist()
+            for first, texts in byte_slices(batch.column(1)):
+                ids, borders = tokenizer.ids(texts)
                 rows: list[tuple] = []
-                for text in texts:
-                    data = runs.of(text or "") + closing
+                for at, (begin, end) in enumerate(itertools.pairwise(borders.tolist()), first):
+                    data = ids[begin:end].tobytes() + closing
                     for piece, b in enumerate(range(0, len(data), 4 * capacity)):
                         part = data[b : b + 4 * capacity]
                         rows.append((
-                            ids[at], piece, b // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None
+                            doc_ids[at], piece, b // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None
                         ))
-                    at += 1
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],

@@ -4,9 +4,10 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from folioquery.llm import mixing, packing, sharding
+from folioquery.llm import mixing, packing, sharding, tokens
 from folioquery.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -42,10 +43,17 @@ def test_ids_of_runs_are_ids_of_the_text():
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(packing.default_tokenizer())
-    runs = packing.RunIds(packing.default_tokenizer())
-    for text in ("", " a  b\n\nc", "It's 'quoted' don't\tx\u00a0y", "e\u0301 \u0301x \u00c5\u2028\u00e9", "a\x1cb\x85c !!?? 12 3", "\u03a3\u03a3 \u0130",
-                 "Word. WORD!! \u00c4\u00d6\u00dfe, \u00ff~ x'S. don'T.. a|b |c d| e|| <|endoftext|> f<|endoftext|> g<| \u00c4', h'' i.'s"):
-        assert np.frombuffer(runs.of(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
+    runs = tokens.WordIds(packing.default_tokenizer())
+    texts = ["", " a  b\n\nc", "It's 'quoted' don't\tx\u00a0y", "e\u0301 \u0301x \u00c5\u2028\u00e9", "a\x1cb\x85c !!?? 12 3", "\u03a3\u03a3 \u0130", "", "T\u0308 t\u0308",
+             "Word. WORD!! \u00c4\u00d6\u00dfe, \u00ff~ x'S. don'T.. a|b |c d| e|| <|endoftext|> f<|endoftext|> g<| \u00c4', h'' i.'s <|ENDOFTEXT|>", "\n", "\t x "]
+    want = [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+    for size in (1, 40, 10**6):  # a slice for each text, some to a slice, all in one
+        got, counts = [], []
+        for _, part in tokens.byte_slices(pa.array([*texts, None]), size):
+            ids, borders = runs.ids(part)
+            got += [ids[a:b].tolist() for a, b in zip(borders, borders[1:])]
+            counts += runs.counts(part).tolist()
+        assert got == [*want, []] and counts == [len(w) for w in got]
 
 
 @pytest.mark.parametrize("seed", range(6))
