@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,9 +11,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioquery.session import ensure_checkpoint_dir
 from folioquery.sources.tables import stage
 
-__all__ = ["HashCache", "grouped", "held_out", "packed", "read", "slices", "stage", "text_or_empty", "unpacked", "words"]
+__all__ = [
+    "HashCache", "grouped", "held_out", "own_folder", "packed", "read", "slices", "stage", "text_or_empty", "unpacked", "words",
+]
 
 #: Rows that are turned into Python objects at a time inside a task.
 SLICE_ROWS = 256
@@ -25,6 +29,12 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new path under the folder that all executors share."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def packed(docs: DataFrame, *used: str | Column) -> DataFrame:
     """Whole rows in one column ``doc`` beside the columns an operator works on: no other name can clash."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *used)

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioquery.llm import (
-    caps, html_extract, minhash, mixing, packing, pii, quality_classifier, quality_rules, sharding, url_filter,
+    alignment, caps, html_extract, minhash, mixing, packing, pii, quality_classifier, quality_rules, sharding, token_counts, url_filter,
 )
-from folioquery.llm.common import read
+from folioquery.llm.common import own_folder, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -74,3 +74,14 @@ def op10_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def op7_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return html_extract.extract(read(spark, folder, "pages"), html_extract.train(html_extract.training_pages()))
+
+
+@_query
+def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.align(read(spark, folder, "documents"))
+
+
+@_query
+def op13_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Starts with an empty cache of its own, so that its work is that of all distinct texts."""
+    return token_counts.count_tokens(read(spark, folder, "documents"), own_folder(spark, "token-counts"))
