@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioquery.llm import (
-    alignment, caps, html_extract, minhash, mixing, packing, pii, quality_classifier, quality_rules, sharding, token_counts, url_filter,
+    alignment, caps, html_extract, minhash, mixing, packing, pii, prefix_trie, quality_classifier, quality_rules, sharding,
+    token_counts, url_filter,
 )
 from folioquery.llm.common import own_folder, read
 
@@ -81,6 +82,14 @@ def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return alignment.align(read(spark, folder, "documents"))
 
 
+@_query
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.trie(read(spark, folder, "conversations"))
+
+
+ORACLES["op12_prefix_trie"] = prefix_trie.ORACLE
+
+
 @_query
 def op13_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Starts with an empty cache of its own, so that its work is that of all distinct texts."""
