@@ -32,6 +32,13 @@ def with_route_facts(rows: DataFrame, facts: DataFrame, spread_by: str) -> DataF
     return rows.withColumn("_salt", salt).join(copies, ["route", "_salt"]).drop("_salt")
 
 
+def of_routes(rows: DataFrame, routes: DataFrame, spread_by: str, how: str) -> DataFrame:
+    """``left_semi`` or ``left_anti`` join of many rows with a table of routes."""
+    copies = routes.select("route", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    salt = F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int")
+    return rows.withColumn("_salt", salt).join(copies, ["route", "_salt"], how).drop("_salt")
+
+
 def top_of_block(scores: np.ndarray, chunk_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, column) positions of the k best per row; equal scores by chunk id."""
     rows, cols = [], []

@@ -1,4 +1,4 @@
-"""BM25: inverted index, corpus statistics, exact top-k.
+"""BM25: inverted index, corpus statistics, exact top-k over the postings of the asked terms.
 
 Fixed values of the ranking function: k1 = 1.5, b = 0.75, and terms found in more
 than half of the chunks get 0.25 times the mean idf instead of a negative one.
@@ -8,21 +8,30 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioquery.functions.text import lexical_tokens
-from folioquery.operators.blocks import blocked_topk, with_route_facts
+from folioquery.operators.blocks import SCORE_DIGITS, blocked_topk, of_routes, with_route_facts
 from folioquery.sources.tables import stage
 
 K1 = 1.5
 B = 0.75
 EPSILON = 0.25
 
+#: Rarest terms of a question are summed first until their postings are so many times k.
+SEED_POSTINGS = 4
+#: Terms stay idle whose best weights together are below this share of the floor: at 1 the fewest postings are read,
+#: below it fewer chunks stay in reach of the floor.
+IDLE_SHARE = 0.5
+#: Sums are compared with this room, more than what rounding to SCORE_DIGITS can move.
+MARGIN = 2e-6
+SLICES = 256
+
 
 def index_rows(chunks: DataFrame) -> DataFrame:
     """(route, chunk_id, text) to its length and its (term, tf) list, inside the row."""
-    tokens = F.array_sort(lexical_tokens(F.col("text")))
+    tokens = F.sort_array(lexical_tokens(F.col("text")))  # array_sort would compare in an interpreted lambda
     starts = F.filter(
         F.transform("_t", lambda _, i: i),
         lambda i: (i == 0) | (F.get("_t", i) != F.get("_t", i - 1)),
@@ -85,46 +94,158 @@ def _score(block: pd.DataFrame, asked: pd.DataFrame) -> np.ndarray:
     return scores
 
 
-def bm25_topk(index: DataFrame, questions: DataFrame, k: int = 30, **blocks) -> DataFrame:
-    """Best k chunks per (question, route); chunks that match nothing score 0 and stay eligible.
+def _asked_terms(questions: DataFrame) -> DataFrame:
+    """(route, question_id, term, times): the terms of every question."""
+    tokens = questions.select("route", "question_id", F.explode(lexical_tokens(F.col("text"))).alias("term"))
+    return tokens.groupBy("route", "question_id", "term").agg(F.count(F.lit(1)).cast("double").alias("times"))
 
-    Only the terms that are asked for leave the index, as numbers and weights.
-    """
-    asked = questions.select("route", "question_id", lexical_tokens(F.col("text")).alias("tokens"))
+
+def _used_terms(index: DataFrame, asked: DataFrame) -> DataFrame:
+    """Numbered terms that some question of their route asks for, with df, idf after replacement, and avgdl."""
     vocabulary = stage(term_stats(index), "terms")
     stats = corpus_stats(index, vocabulary).select("route", "avgdl", "mean_idf")
-    asked_terms = asked.select("route", "question_id", F.explode("tokens").alias("term"))
-    used = stage(
-        with_route_facts(
-            vocabulary.join(asked_terms.select("route", "term").distinct(), ["route", "term"]), stats, "term"
-        )
-        .select(
-            "route", "term", "avgdl", F.monotonically_increasing_id().alias("term_id"),
-            F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf"))
-            .alias("idf"),
+    wanted = vocabulary.join(asked.select("route", "term").distinct(), ["route", "term"])
+    return stage(
+        with_route_facts(wanted, stats, "term").select(
+            "route", "term", "avgdl", "df", F.monotonically_increasing_id().alias("term_id"),
+            F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"),
         ),
         "asked-terms",
     )
+
+
+def _postings(index: DataFrame, used: DataFrame) -> DataFrame:
+    """(route, chunk_id, term_id, w): the postings of the terms that are asked for."""
     tf, dl = F.col("p.tf"), F.col("dl")
-    weight = F.col("idf") * tf * (K1 + 1) / (
-        tf + K1 * (1 - B + B * dl / F.col("avgdl"))
+    weight = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))
+    return (
+        index.select("route", "chunk_id", "dl", F.explode("postings").alias("p")).withColumn("term", F.col("p.term"))
+        .join(used, ["route", "term"]).select("route", "chunk_id", "term_id", weight.alias("w"))
+    )
+
+
+def _sums(postings: DataFrame, terms: DataFrame) -> DataFrame:
+    """(route, question_id, chunk_id, s): what the given terms of each question add to a chunk."""
+    met = postings.drop("route").join(terms, "term_id")
+    return met.groupBy("route", "question_id", "chunk_id").agg(F.sum(F.col("w") * F.col("times")).alias("s"))
+
+
+def _best(sums: DataFrame, n: int) -> DataFrame:
+    """The n best sums of each question, numbered."""
+    order = Window.partitionBy("route", "question_id").orderBy(F.desc("s"), "chunk_id")
+    return sums.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n)
+
+
+def _completed(pairs: DataFrame, terms: DataFrame, postings: DataFrame) -> DataFrame:
+    """What the given terms of each question add to the chunks of ``pairs``, as rows to be summed."""
+    keys = ["route", "question_id"]
+    return pairs.select(*keys, "chunk_id").join(terms.select(*keys, "term_id", "times"), keys).join(
+        postings, ["route", "chunk_id", "term_id"]
+    ).select(*keys, "chunk_id", (F.col("w") * F.col("times")).alias("s"))
+
+
+def _sparse_topk(asked: DataFrame, used: DataFrame, postings: DataFrame, k: int) -> DataFrame:
+    """(route, question_id, chunk_id, score) of every chunk that may be among the k best of a question.
+
+    All matched chunks of a question with fewer than k of them are there. No weight is
+    negative here. Chunks that match the rarest terms of a question best are scored in full;
+    the k-th best of them is a floor. Terms whose best weights together stay below it cannot
+    bring in a chunk by themselves. Their postings are looked up only for chunks that other
+    terms bring in and that could still reach the floor with them.
+    """
+    keys = ["route", "question_id"]
+    best = postings.groupBy("term_id").agg(F.max("w").alias("ub"))
+    rarest = Window.partitionBy(*keys).orderBy("df", "term_id").rowsBetween(Window.unboundedPreceding, -1)
+    terms = stage(
+        asked.join(used.select("route", "term", "term_id", "df"), ["route", "term"]).join(best, "term_id")
+        .select(*keys, "term_id", "times", "df", (F.col("ub") * F.col("times")).alias("most"))
+        .withColumn("seed", F.coalesce(F.sum("df").over(rarest), F.lit(0)) < SEED_POSTINGS * k),
+        "question-terms",
+    )
+    seeds = _best(_sums(postings, terms.where("seed").select(*keys, "term_id", "times")), 2 * k)
+    full = _completed(seeds, terms, postings).groupBy(*keys, "chunk_id").agg(F.sum("s").alias("s"))
+    floor = _best(full, k).where(F.col("_n") == k).select(*keys, F.col("s").alias("floor"))
+    weakest = Window.partitionBy(*keys).orderBy("most", "term_id").rowsBetween(Window.unboundedPreceding, 0)
+    split = stage(
+        terms.join(floor, keys, "left")
+        .withColumn("idle", F.coalesce(F.sum("most").over(weakest) < IDLE_SHARE * F.col("floor"), F.lit(False))),
+        "split-terms",
+    )
+    rest = split.groupBy(*keys).agg(
+        F.sum(F.when(F.col("idle"), F.col("most")).otherwise(0.0)).alias("rest"), F.max("floor").alias("floor"),
+        F.collect_list(F.when(F.col("idle"), F.struct("term_id", "times"))).alias("idle"),
+    )
+    # without k full scores there is no floor and every matched chunk is scored
+    hopeful = _sums(postings, split.where("not idle").select(*keys, "term_id", "times")).join(rest, keys).where(
+        F.col("s") + F.col("rest") >= F.coalesce("floor", F.lit(float("-inf"))) - MARGIN
+    )
+    late = hopeful.select(*keys, "chunk_id", "s", F.inline_outer("idle")).join(postings, ["route", "chunk_id", "term_id"], "left")
+    return late.groupBy(*keys, "chunk_id").agg(
+        (F.round(F.first("s") + F.sum(F.coalesce(F.col("w") * F.col("times"), F.lit(0.0))), SCORE_DIGITS) + 0.0).alias("score")
+    )
+
+
+def bm25_topk(index: DataFrame, questions: DataFrame, k: int = 30, **blocks) -> DataFrame:
+    """Best k chunks per (question, route); chunks that match nothing score 0 and stay eligible.
+
+    Only postings of asked terms are read; see ``_sparse_topk`` for what is pruned. A question
+    with fewer than k matches is filled up with the smallest ids among the other chunks of
+    its route: those are among the route's k smallest. Two kinds of questions are scored
+    against every chunk instead (``_dense_topk``): those of a route with negative weights,
+    and those with k matches of which fewer than k score above 0.
+    """
+    keys = ["route", "question_id"]
+    asked = _asked_terms(questions)
+    used = _used_terms(index, asked)
+    negative = used.where("idf < 0").select("route").distinct()
+    postings = stage(_postings(index, used), "asked-postings")
+    everyone = questions.select(*keys).distinct()
+    order = Window.partitionBy(*keys).orderBy(F.desc("score"), "chunk_id")
+    scores = _sparse_topk(of_routes(asked, negative, "term", "left_anti"), used, postings, k)
+    top = stage(scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "sparse-topk")
+    # with fewer than k matches all of them are here
+    matches = top.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("score") > 0).alias("scoring"))
+    counts = of_routes(everyone, negative, "question_id", "left_anti").join(matches, keys, "left").na.fill(0, ["n", "scoring"])
+    fill = with_route_facts(counts.where(F.col("n") < k).select(*keys), _smallest_ids(index, k), "question_id").join(
+        top.select(*keys, "chunk_id"), [*keys, "chunk_id"], "left_anti"
+    ).withColumn("score", F.lit(0.0))
+    tied = counts.where((F.col("n") >= k) & (F.col("scoring") < k)).select(*keys)
+    hits = (
+        top.drop("rank").join(tied, keys, "left_anti").unionByName(fill)
+        .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        .select("question_id", "route", "chunk_id", "score", "rank")
     )
-    matched = (
-        index.select("route", "chunk_id", "dl", F.explode("postings").alias("p"))
-        .withColumn("term", F.col("p.term"))
-        .join(used, ["route", "term"])
-        .groupBy("route", "chunk_id")
-        .agg(F.collect_list(F.struct("term_id", weight.alias("w"))).alias("m"))
+    dense = stage(of_routes(everyone, negative, "question_id", "left_semi").unionByName(tied), "dense-questions")
+    if dense.isEmpty():
+        return hits
+    return hits.unionByName(_dense_topk(index, questions.join(dense, keys, "left_semi"), used, postings, k, **blocks))
+
+
+def _smallest_ids(index: DataFrame, k: int) -> DataFrame:
+    """The k smallest chunk ids of every route, first within slices of a route, then of those."""
+    slices = Window.partitionBy("route", "_slice").orderBy("chunk_id")
+    first = (
+        index.select("route", "chunk_id", F.pmod(F.xxhash64("chunk_id"), F.lit(SLICES)).alias("_slice"))
+        .withColumn("_n", F.row_number().over(slices)).where(F.col("_n") <= k)
     )
+    return first.withColumn("_n", F.row_number().over(Window.partitionBy("route").orderBy("chunk_id"))).where(
+        F.col("_n") <= k
+    ).select("route", "chunk_id")
+
+
+def _dense_topk(index: DataFrame, questions: DataFrame, used: DataFrame, postings: DataFrame, k: int, **blocks) -> DataFrame:
+    """Every chunk of a route against every question of it, block by block."""
+    matched = postings.groupBy("route", "chunk_id").agg(F.collect_list(F.struct("term_id", "w")).alias("m"))
     chunks = index.select("route", "chunk_id").join(matched, ["route", "chunk_id"], "left").select(
         "route", "chunk_id",
         F.coalesce("m.term_id", F.array().cast("array<bigint>")).alias("terms"),
         F.coalesce("m.w", F.array().cast("array<double>")).alias("weights"),
     )
-    numbered = asked_terms.join(used.select("route", "term", "term_id"), ["route", "term"]).groupBy(
+    tokens = questions.select("route", "question_id", F.explode(lexical_tokens(F.col("text"))).alias("term"))
+    numbered = tokens.join(used.select("route", "term", "term_id"), ["route", "term"]).groupBy(
         "route", "question_id"
     ).agg(F.array_sort(F.collect_list("term_id")).alias("terms"))
-    wanted = asked.select("route", "question_id").join(
+    wanted = questions.select("route", "question_id").join(
         numbered, ["route", "question_id"], "left"
     ).withColumn("terms", F.coalesce("terms", F.array().cast("array<bigint>")))
     return blocked_topk(chunks, wanted, _score, k, counted=index, **blocks)

@@ -3,7 +3,9 @@
 Keys are found by an equality join on substrings, never by testing every key
 against every question: a match ends where a non-word character (or the end)
 follows, so the candidates of a question are the substrings that end there and
-have the length of some key.
+have the length of some key.  A bitmap of the hashes of all keys, of bounded size,
+goes to every task and drops nearly all other substrings before they are joined;
+what it lets through wrongly the join drops.
 """
 
 from __future__ import annotations
@@ -14,6 +16,11 @@ from pyspark.sql import functions as F
 from folioquery.functions.text import WHITESPACE_CLASS, stem, truthy
 from folioquery.sources.tables import stage
 
+#: Bits of the key filter: so many to a key, between the bounds. A filter that is too small only lets more through.
+BITS_PER_KEY = 32
+MIN_BITS = 1 << 12
+MAX_BITS = 1 << 26
+
 _KEY = "struct<neg_len:int,csv_ord:bigint,key_ord:int,key:string,doc_id:string>"
 
 
@@ -48,24 +55,45 @@ def _fold(text: Column) -> Column:
     return F.when(F.length(low) == F.length(text), low).otherwise(F.array_join(letters, ""))
 
 
-def _candidates(open_questions: DataFrame, keys: DataFrame, again: bool) -> DataFrame:
+def _bit(low: Column, n_bits: int) -> Column:
+    return F.pmod(F.xxhash64(low), F.lit(n_bits))
+
+
+def key_filter(keys: DataFrame) -> tuple[DataFrame, int]:
+    """One row with the bitmap of the folded keys as 64-bit words, and its number of bits."""
+    n_bits = MIN_BITS
+    n_keys = keys.count()
+    while n_bits < BITS_PER_KEY * n_keys and n_bits < MAX_BITS:
+        n_bits *= 2
+    hashed = keys.select(_bit(_fold(F.col("key")), n_bits).alias("b"))
+    words = hashed.groupBy(F.shiftright("b", 6).alias("word")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("b") % 64).cast("int"))).alias("bits")
+    )
+    every = keys.sparkSession.range(n_bits // 64).withColumnRenamed("id", "word").join(words, "word", "left")
+    ordered = F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))))
+    return stage(every.agg(F.transform(ordered, lambda w: w["bits"]).alias("bits")), "key-filter"), n_bits
+
+
+def _candidates(open_questions: DataFrame, keys: DataFrame, passing: tuple[DataFrame, int], again: bool) -> DataFrame:
     """Keys that occur in the remaining text, in consuming order, per question."""
-    lengths = keys.agg(F.collect_set(F.length("key")).alias("_lengths"))
+    lengths = keys.agg(F.array_sort(F.collect_set(F.length("key"))).alias("_lengths")).scalar()
+    bitmap, n_bits = passing
     text = _fold(F.col("rest"))
     ends = F.filter(
         F.sequence(F.lit(1), F.length("rest")),
         lambda p: (p == F.length("rest")) | F.substring(F.col("rest"), p + 1, 1).rlike(r"(?U)\W"),
     )
+    cut = F.flatten(F.transform("_ends", lambda end: F.transform(
+        F.filter("_lengths", lambda n: n <= end), lambda n: F.substring(F.col("_text"), end - n + 1, n)
+    )))
+    at = _bit(F.col("_low"), n_bits)
+    word = F.get(bitmap.scalar(), F.shiftright(at, 6).cast("int"))
     spots = (
         open_questions.where(F.length("rest") > 0)
-        .select("question_id", text.alias("_text"), "last", F.explode(ends).alias("_end"))
-        .select("question_id", "_text", "last", "_end", F.explode(lengths.scalar()).alias("_len"))
-        .where(F.col("_len") <= F.col("_end"))
-        .select(
-            "question_id", "last",
-            F.substring(F.col("_text"), F.col("_end") - F.col("_len") + 1, F.col("_len"))
-            .alias("_low"),
-        )
+        .select("question_id", text.alias("_text"), "last", ends.alias("_ends"), lengths.alias("_lengths"))
+        .select("question_id", "last", F.explode(cut).alias("_low"))
+        # in the scan's tasks: hardly anything but keys goes on
+        .where(F.call_function("shiftrightunsigned", word, (at % 64).cast("int")).bitwiseAND(1) == 1)
         .groupBy("question_id", "last", "_low").agg(F.count(F.lit(1)).alias("_times"))
     )
     same_key = Window.partitionBy("_low").orderBy("csv_ord", "key_ord")
@@ -139,10 +167,11 @@ def route_questions(questions: DataFrame, keys: DataFrame) -> DataFrame:
         F.array().cast("array<string>").alias("hits"), F.lit(None).cast(_KEY).alias("last"),
     ).repartition("question_id")  # as the join below asks for: the substrings are then cut in many tasks
     done: DataFrame | None = None
+    passing = key_filter(keys)
     while True:
         folded = stage(
             current.join(
-                _candidates(current, keys, again=done is not None), "question_id", "left"
+                _candidates(current, keys, passing, again=done is not None), "question_id", "left"
             )
             .withColumns({
                 "keys": F.coalesce("keys", F.array().cast(f"array<{_KEY}>")),

@@ -13,7 +13,6 @@ from folioquery.plans.structure import document_chunks
 from folioquery.sources.tables import table
 
 
-SOURCES = 20  # of the SQL below, which still asks a question of one source only
 EVERYTHING = "all"  # the one route of the searches: a question meets every document and every vector
 
 
@@ -29,26 +28,27 @@ df AS (SELECT source, term, count(*) AS df FROM tf GROUP BY 1, 2),
 size AS (SELECT source, count(*) AS n, avg(len(t)) AS avgdl FROM toks GROUP BY 1),
 idf AS (SELECT source, term, df, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM df JOIN size USING (source))"""
 
-BM25_HITS = LEXICAL_STATS + f""",
-mean_idf AS (SELECT source, avg(idf) AS mean_idf FROM idf GROUP BY 1),
+CORPUS_STATS = f"""
+toks AS (SELECT doc_id, source, {S.lexical('text')} AS t FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM toks) GROUP BY 1, 2),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+size AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM toks),
+idf AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM df, size)"""
+
+BM25_HITS = CORPUS_STATS + f""",
 used AS (
-  SELECT source, term, CASE WHEN idf < 0 THEN 0.25 * mean_idf ELSE idf END AS idf
-  FROM idf JOIN mean_idf USING (source)
-),
-asked AS (
-  SELECT item_id AS question_id, 'src' || (item_id % {SOURCES}) AS source, unnest({S.lexical('text')}) AS term
-  FROM benchmark
+  SELECT term, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM idf) ELSE idf END AS idf FROM idf
 ),
+asked AS (SELECT item_id AS question_id, unnest({S.lexical('text')}) AS term FROM benchmark),
 partial AS (
   SELECT a.question_id, tf.doc_id,
     sum(u.idf * tf.tf * 2.5 / (tf.tf + 1.5 * (0.25 + 0.75 * len(k.t) / s.avgdl))) AS score
-  FROM asked a JOIN tf USING (source, term) JOIN used u USING (source, term)
-  JOIN toks k ON k.doc_id = tf.doc_id JOIN size s USING (source)
+  FROM asked a JOIN tf USING (term) JOIN used u USING (term) JOIN toks k ON k.doc_id = tf.doc_id, size s
   GROUP BY 1, 2
 ),
 bm25_all AS (
   SELECT b.item_id AS question_id, d.doc_id AS chunk_id, round(coalesce(p.score, 0), 6) AS score
-  FROM benchmark b JOIN documents d ON d.source = 'src' || (b.item_id % {SOURCES})
+  FROM benchmark b CROSS JOIN documents d
   LEFT JOIN partial p ON p.question_id = b.item_id AND p.doc_id = d.doc_id
 ),
 bm25 AS (
@@ -56,12 +56,11 @@ bm25 AS (
     AS rank FROM bm25_all) WHERE rank <= 30
 )"""
 
-COSINE_HITS = f"""
+COSINE_HITS = """
 cosine_all AS (
   SELECT q.vec_id AS question_id, c.vec_id AS chunk_id,
     round(list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS score
-  FROM embeddings q JOIN benchmark b ON b.item_id = q.vec_id
-  JOIN embeddings c ON c.vec_id % {SOURCES} = b.item_id % {SOURCES}
+  FROM embeddings q JOIN benchmark b ON b.item_id = q.vec_id CROSS JOIN embeddings c
 ),
 cosine AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id)
@@ -286,6 +285,55 @@ def route_entities(spark, folder):
     )
 
 
+@query("route_overlaps", """
+WITH asked AS (
+  SELECT o_orderkey AS question_id, left(o_orderpriority, 1)::INT AS kind, 'cust.' || c_custkey AS cust, c_name,
+    lower(n_name) AS nation, n_name || ' ' || r_name AS place, lower(r_name) || '-region' AS region
+  FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey
+  JOIN region ON r_regionkey = n_regionkey
+)
+SELECT question_id,
+  CASE kind WHEN 1 THEN CASE WHEN length(c_name) > length(place) THEN cust || '|' || nation ELSE nation || '|' || cust END
+    WHEN 2 THEN cust WHEN 3 THEN region WHEN 4 THEN '' ELSE nation END AS doc_ids,
+  CASE kind WHEN 1 THEN 'comparative' WHEN 4 THEN 'unanswerable' ELSE 'single' END AS route_kind FROM asked""")
+def route_overlaps(spark, folder):
+    """Orders asked about by customer and place, by one of them, or by neither; regions are part of longer names.
+
+    A nation's report is known by nation and region together, so its name in a question
+    consumes the region, which is the name of another report.
+    """
+    region = table(spark, folder, "region")
+    place = table(spark, folder, "nation").join(region, F.col("r_regionkey") == F.col("n_regionkey")).select(
+        "n_nationkey", "n_name", "r_name", F.concat_ws(" ", "n_name", "r_name").alias("place")
+    )
+    customer = table(spark, folder, "customer")
+    metadata = customer.select(
+        F.col("c_name").alias("company"), F.concat(F.lit("raw/cust."), "c_custkey", F.lit(".pdf")).alias("filename"),
+        F.col("c_custkey").alias("csv_ord"),
+    ).unionByName(place.select(
+        F.col("place").alias("company"), F.concat(F.lit("raw/"), F.lower("n_name"), F.lit(".pdf")).alias("filename"),
+        (-1 - F.col("n_nationkey")).cast("long").alias("csv_ord"),
+    )).unionByName(region.select(
+        F.col("r_name").alias("company"), F.concat(F.lit("raw/"), F.lower("r_name"), F.lit("-region.pdf")).alias("filename"),
+        (-100 - F.col("r_regionkey")).cast("long").alias("csv_ord"),
+    ))
+    kind = F.substring("o_orderpriority", 1, 1)
+    named = (
+        F.when(kind == "1", F.concat(F.lower("c_name"), F.lit(" of "), "place")).when(kind == "2", F.col("c_name"))
+        .when(kind == "3", F.concat(F.lit("somebody in "), F.initcap("r_name"))).when(kind == "4", F.lit("nobody in EUROPEAN ASIATIC parts"))
+        .otherwise(F.concat(F.lit("somebody in "), "n_name"))
+    )
+    questions = (
+        table(spark, folder, "orders").join(customer, F.col("c_custkey") == F.col("o_custkey"))
+        .join(place, F.col("n_nationkey") == F.col("c_nationkey"))
+        .select(F.col("o_orderkey").alias("question_id"), F.concat(F.lit("What did "), named, F.lit(", on that day, order?")).alias("question"))
+    )
+    routed = routing.route_questions(questions, routing.vocabulary(metadata))
+    return routed.select(
+        "question_id", F.array_join("doc_ids", "|").alias("doc_ids"), routing.dispatch(F.col("doc_ids")).alias("route_kind")
+    )
+
+
 # ---- parent context ------------------------------------------------------------------------
 
 HEADING_CANDIDATES = S.ELEMENTS + """,
@@ -301,7 +349,7 @@ parts AS (
     CASE WHEN n.type = 'table' THEN coalesce(array_to_string(list_filter(string_split(
              regexp_replace(n.html, '</?t[a-z]+>', '', 'g'), '. '), lambda x: length(x) > 0), {S.NL}),
              nullif(n.text, ''), '[table]')
-         WHEN n.type = 'picture' AND length(e.text) % 2 = 0 THEN 'Reading of ' || e.text
+         WHEN n.type = 'picture' AND e.text <> '' THEN 'Reading of ' || e.text
          WHEN n.type = 'heading' AND n.text <> '' THEN repeat('#', least(n.level, 4)) || ' ' || n.text
          ELSE nullif(n.text, '') END AS part
   FROM normal n JOIN elements e USING (doc_id, idx)

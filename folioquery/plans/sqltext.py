@@ -180,7 +180,7 @@ units AS (
   FROM ser
   UNION ALL
   SELECT e.doc_id, e.idx, e.page, 'serialized_image', 'Reading of ' || e.text, NULL::VARCHAR
-  FROM elements e WHERE e.type = 'picture' AND length(e.text) % 2 = 0
+  FROM elements e WHERE e.type = 'picture' AND e.text <> ''
 ),
 raw_chunks AS (
   SELECT p.doc_id, 'content' AS type, p.page,

@@ -213,11 +213,13 @@ def chunk_token_percentiles(spark, folder):
 # ---- nothing is lost ------------------------------------------------------------------
 
 @query("report_conservation", f"""
-WITH {S.LINES}
-SELECT doc_id, sum({S.extracted('line')})::BIGINT AS chars_in, sum({S.extracted('line')})::BIGINT AS chars_out
-FROM lines GROUP BY doc_id""")
+WITH {S.ENTRIES},
+ink AS (SELECT doc_id, rtype, {S.extracted('line')} AS n FROM entries)
+SELECT doc_id, sum(n)::BIGINT AS chars_in, sum(n)::BIGINT AS chars_out,
+  coalesce(sum(n) FILTER (rtype = 'image'), 0)::BIGINT AS picture_chars_in_chunks
+FROM ink GROUP BY doc_id""")
 def report_conservation(spark, folder):
-    """Characters of every report that are not white space, before and after the element conversion."""
+    """Characters of every report that are not white space: in its entries, its elements, and in its chunks of pictures."""
     blank = F.lit(f"[{WHITESPACE_CLASS}]")
 
     def ink(c):
@@ -234,8 +236,13 @@ def report_conservation(spark, folder):
     )
     told = F.when(F.col("type") == "table", F.regexp_replace("html", "</?t[a-z]+>", "")).otherwise(F.col("text"))
     after = D.report_elements(spark, folder).groupBy("doc_id").agg(F.sum(ink(told)).alias("chars_out"))
-    return before.join(after, "doc_id", "left").select(
-        "doc_id", "chars_in", F.coalesce("chars_out", F.lit(0)).cast("long").alias("chars_out")
+    chunks, _ = document_chunks(spark, folder)
+    pictures = chunks.where(F.col("type") == "serialized_image").groupBy("doc_id").agg(
+        F.sum(ink(F.expr("substring(text, length('Reading of ') + 1)"))).alias("picture_chars")
+    )
+    return before.join(after, "doc_id", "left").join(pictures, "doc_id", "left").select(
+        "doc_id", "chars_in", F.coalesce("chars_out", F.lit(0)).cast("long").alias("chars_out"),
+        F.coalesce("picture_chars", F.lit(0)).cast("long").alias("picture_chars_in_chunks"),
     )
 
 
