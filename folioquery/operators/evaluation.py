@@ -188,12 +188,34 @@ def rate_answers(
         rows, judge, ["user_input", "retrieved_contexts", "response", "reference"],
         models.check_object, **calls,
     )
-    return asked.select(
-        *rows.columns,
-        *[F.get_json_object("outcome.reply", f"$.{m}").try_cast("double").alias(m) for m in metrics],
+    # read as strings: a mark may be a number, NaN, a number in quotes, or anything else, which is no mark
+    marks = F.from_json("outcome.reply", ", ".join(f"`{m}` string" for m in metrics))
+    return asked.withColumn("_marks", marks).select(
+        *rows.columns, *[F.col("_marks").getField(m).try_cast("double").alias(m) for m in metrics]
     )
 
 
+def judge_report(
+    answers: DataFrame, gold: DataFrame, contexts: DataFrame, judge: models.Model,
+    metrics: Sequence[str] = ("faithfulness", "answer_relevancy", "context_precision"), cap: int = METRIC_CONTEXT_CHARS, **calls,
+) -> DataFrame:
+    """Rows and metric means of every verdict and, as ``all``, of the aligned rows together, in one aggregate.
+
+    A metric that is missing or not a number counts in no mean and in no ``n_<metric>``.
+    """
+    rated = rate_answers(judge_rows(answers, gold, contexts, cap), judge, metrics, **calls)
+    n = contexts.groupBy("question").agg(F.count(F.lit(1)).alias("_n"))
+    verdict = judge_verdict(F.col("final_answer"), F.col("golds"), F.coalesce("_n", F.lit(0)))
+    rows = answers.join(gold, "question").join(n, "question", "left").select("question", verdict.alias("verdict")).join(
+        rated.select(F.col("user_input").alias("question"), *metrics), "question", "left"
+    )
+    known = {m: F.when(~F.isnan(m), F.col(m)) for m in metrics}
+    return rows.rollup("verdict").agg(
+        F.grouping("verdict").alias("_all"), F.count(F.lit(1)).alias("n_rows"),
+        *[F.count(c).alias(f"n_{m}") for m, c in known.items()], *[F.avg(c).alias(m) for m, c in known.items()],
+    ).withColumn("verdict", F.when(F.col("_all") == 1, "all").otherwise(F.col("verdict"))).drop("_all")
+
+
 def metric_means(rated: DataFrame, metrics: Sequence[str]) -> DataFrame:
     """Mean of each metric over the rows where it could be computed."""
     return rated.agg(*[

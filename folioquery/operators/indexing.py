@@ -1,58 +1,94 @@
 """The report index on disk: lexical rows, vectors and a meta row per report.
 
-Every run appends one batch and never touches earlier ones; a report belongs to
-the newest batch that holds it.  Reading one report reads only its rows: the
-tables are clustered by report inside each batch.
+Every run appends one batch and never touches earlier ones. Its rows lie in folders by hash
+bucket of the report, and in one file per bucket and FILE_CHUNKS chunks of a report, so that
+a huge report is many files and many tasks. The snapshot, a table of the current batch of
+every indexed report, is published last: a run that dies leaves rows that nobody reads. Who
+asks for some reports reads only their buckets, and in those the row groups of their ids.
 """
 
 from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from folioquery.operators.chunking import missing_chunk_ids
 from folioquery.operators.enrichment import embed_chunks, embedded_documents
 from folioquery.operators.lexical import index_rows
+from folioquery.sources.stages import merge_latest, read_stage, write_stage
+from folioquery.sources.tables import stage
 
 PARTS = ("lexical", "vectors", "meta")
+BUCKETS = 256
+#: Chunks of one report that share a file.
+FILE_CHUNKS = 20_000
+#: Ids of asked reports that are pushed down to the files; more are only joined.
+PUSHED_IDS = 1_000
 
 
-def _read(spark: SparkSession, path: str, part: str) -> DataFrame | None:
+def bucket_of(doc_id: Column) -> Column:
+    """The bucket of a report: the first two bytes of the MD5 digest of its id."""
+    return (F.conv(F.substring(F.md5(doc_id.cast("string").cast("binary")), 1, 4), 16, 10).cast("int") % BUCKETS).cast("int")
+
+
+def indexed_reports(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, bucket, batch): the reports of the index with their current batch."""
     try:
-        return spark.read.parquet(f"{path}/{part}")
+        return read_stage(spark, f"{path}/snapshot")
     except AnalysisException:
-        return None
+        return spark.createDataFrame([], "doc_id string, bucket int, batch long")
 
 
-def indexed_reports(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, batch): reports with both kinds of rows, in their newest batch."""
-    lexical, vectors, meta = (_read(spark, path, part) for part in PARTS)
-    if lexical is None or vectors is None or meta is None:
-        return spark.createDataFrame([], "doc_id string, batch long")
-    newest = meta.groupBy("doc_id").agg(F.max("batch").alias("batch"))
-    for rows in (lexical, vectors):
-        newest = newest.join(rows.select("doc_id", "batch").distinct(), ["doc_id", "batch"], "left_semi")
-    return newest
+def _reached(current: DataFrame) -> Column:
+    """The folders of some indexed reports: literals, so that other folders are not even listed to tasks."""
+    folders = current.select("bucket", "batch").distinct().collect()  # BUCKETS times the batches at most
+    return F.col("bucket").isin([r["bucket"] for r in folders]) & F.col("batch").isin([r["batch"] for r in folders])
+
+
+def asked_reports(spark: SparkSession, path: str, reports: DataFrame) -> DataFrame:
+    """(doc_id, bucket, batch) of those of the reports that are indexed."""
+    return stage(indexed_reports(spark, path).join(reports.select("doc_id").distinct(), "doc_id", "left_semi"), "asked-reports")
+
+
+def opened_files(spark: SparkSession, path: str, part: str, current: DataFrame | None = None) -> DataFrame:
+    """Files of a part that a read of some reports (else of all) opens."""
+    rows = spark.read.parquet(f"{path}/{part}")
+    return (rows if current is None else rows.where(_reached(current))).select(F.col("_metadata.file_path").alias("file")).distinct()
 
 
 def read_index(
     spark: SparkSession, path: str, reports: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(lexical, vectors, meta) of the indexed reports, or of those asked for."""
-    current = indexed_reports(spark, path)
+    current, reached = indexed_reports(spark, path), None
     if reports is not None:
-        current = current.join(reports.select("doc_id").distinct(), "doc_id", "left_semi")
-    lexical, vectors, meta = (
-        spark.read.parquet(f"{path}/{part}").join(current, ["doc_id", "batch"], "left_semi")
-        .drop("batch")
-        for part in PARTS
-    )
+        current = asked_reports(spark, path, reports)
+        reached = _reached(current)
+        ids = [r["doc_id"] for r in current.select("doc_id").limit(PUSHED_IDS + 1).collect()]
+        if len(ids) <= PUSHED_IDS:
+            reached = reached & F.col("doc_id").isin(ids)
+    out = []
+    for part in PARTS:
+        rows = spark.read.parquet(f"{path}/{part}")
+        rows = rows if reached is None else rows.where(reached)
+        out.append(rows.join(current.drop("bucket"), ["doc_id", "batch"], "left_semi").drop("batch", "bucket"))
+    lexical, vectors, meta = out
     return lexical.withColumnRenamed("doc_id", "route"), vectors, meta
 
 
+def _append(df: DataFrame, path: str, batch: int) -> None:
+    """Write the rows of one part of a batch."""
+    piece = F.floor(F.col("chunk_id") / FILE_CHUNKS) if "chunk_id" in df.columns else F.lit(0)
+    rows = df.withColumn("bucket", bucket_of(F.col("doc_id"))).withColumn("_piece", piece)
+    order = ["bucket", "_piece", "doc_id", *(["chunk_id"] if "chunk_id" in df.columns else [])]
+    rows.repartition("bucket", "_piece").sortWithinPartitions(*order).drop("_piece").write.mode("overwrite").partitionBy(
+        "bucket"
+    ).parquet(f"{path}/batch={batch}")
+
+
 def update_index(
     chunks: DataFrame, path: str, embedder, model: str, fingerprints: DataFrame | None = None,
     force: bool = False, batch_size: int = 32, budget: int = 3200,
@@ -70,6 +106,10 @@ def update_index(
         skipped = skipped.limit(0)
     else:
         todo = chunks.join(have, "doc_id", "left_anti")
+    none = F.lit(None).cast("string").alias("error")
+    skipped = skipped.select("doc_id", F.lit("skipped").alias("status"), none)
+    if todo.isEmpty():
+        return skipped
     broken = missing_chunk_ids(todo).select(
         "doc_id", F.lit("chunk ids are not dense or a chunk is blank").alias("error")
     )
@@ -94,13 +134,10 @@ def update_index(
         })
     )
     for part, df in zip(PARTS, (rows, vectors, meta)):
-        clustered = df.repartition("doc_id").sortWithinPartitions("doc_id")
-        clustered.write.mode("overwrite").parquet(f"{path}/{part}/batch={batch}")
-    written = spark.read.parquet(f"{path}/meta/batch={batch}").select("doc_id")
+        _append(df, f"{path}/{part}", batch)
+    written = spark.read.parquet(f"{path}/meta/batch={batch}").select("doc_id", "bucket", F.lit(batch).alias("batch"))
+    write_stage(merge_latest(indexed_reports(spark, path), written, ["doc_id"]), f"{path}/snapshot")
     failed = broken.unionByName(unembedded)
-    return (
-        skipped.select("doc_id", F.lit("skipped").alias("status"), F.lit(None).cast("string").alias("error"))
-        .unionByName(written.select("doc_id", F.lit("indexed").alias("status"),
-                                    F.lit(None).cast("string").alias("error")))
-        .unionByName(failed.select("doc_id", F.lit("failed").alias("status"), "error"))
+    return skipped.unionByName(written.select("doc_id", F.lit("indexed").alias("status"), none)).unionByName(
+        failed.select("doc_id", F.lit("failed").alias("status"), "error")
     )

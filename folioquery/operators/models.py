@@ -3,8 +3,8 @@
 A model is any picklable object with ``reply(request: dict) -> str`` that returns
 JSON.  The request holds the chosen columns of the row.  Calls happen in Arrow
 batches inside the tasks; how many run at once is the number of partitions times the
-size of a task's pool.  ``ask_durably`` keeps the replies of every finished batch, so a
-run that failed goes on where it stopped.
+size of a task's pool.  ``ask_durably`` appends the replies of every finished batch to a
+log, so a run that failed goes on where it stopped; ``compact_replies`` keeps the log short.
 """
 
 from __future__ import annotations
@@ -20,9 +20,10 @@ from typing import Any, Protocol
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioquery.sources.stages import read_stage, write_stage
 from folioquery.sources.tables import stage
 
 OUTCOME = "struct<reply:string,error:string,attempts:int,tokens_in:bigint,tokens_out:bigint>"
@@ -143,21 +144,45 @@ def ask_durably(
     batches are kept when a run dies, and rows that carry an error are asked again.
     Returns the rows of ``df`` with their outcome.
     """
-    spark = df.sparkSession
-    try:
-        have = spark.read.parquet(path).where(F.col(f"{out}.error").isNull()).select(*keys).distinct()
-        todo = df.join(have, list(keys), "left_anti")
-    except AnalysisException:  # nothing was committed under this path
-        todo = df
+    have = latest_replies(df.sparkSession, path, keys, out)
+    todo = df if have is None else df.join(have.where(F.col(f"{out}.error").isNull()).select(*keys), list(keys), "left_anti")
     todo = stage(todo.withColumn("_part", F.pmod(F.xxhash64(*keys), F.lit(batches))), "to-ask")
     for part in sorted(r[0] for r in todo.select("_part").distinct().collect()):
         rows = todo.where(F.col("_part") == part).drop("_part")
         asked = _asked(rows, model, request, check, out, retries, backoff_seconds, pool, None)
-        asked.select(*keys, out).write.mode("append").parquet(path)
-    replies = spark.read.parquet(path).groupBy(*keys).agg(
-        F.max_by(out, F.struct(F.col(f"{out}.error").isNull(), F.col(f"{out}.attempts"))).alias(out)
-    )
-    return df.join(replies, list(keys), "left")
+        asked.select(*keys, out).write.parquet(f"{path}/commit={time.time_ns()}")
+    replies = latest_replies(df.sparkSession, path, keys, out)
+    if replies is None:
+        return df.withColumn(out, F.lit(None).cast(OUTCOME))
+    return df.join(replies.select(*keys, out), list(keys), "left")
+
+
+def latest_replies(spark: SparkSession, path: str, keys: Sequence[str], out: str = "outcome") -> DataFrame | None:
+    """(keys, outcome, calls, commit): the last reply of every key, else its last error, and its calls in all.
+
+    Read from the compacted table, if there is one, and the commits after it.
+    """
+    try:
+        log = spark.read.parquet(path).select(*keys, out, F.col(f"{out}.attempts").cast("long").alias("calls"), "commit")
+    except AnalysisException:  # nothing was committed under this path
+        return None
+    try:
+        compact = read_stage(spark, f"{path}-compact")
+        # the commits up to this one are folders that are not read
+        upto = compact.agg(F.max("upto")).first()[0]
+        log = log.where(F.col("commit") > upto).unionByName(compact.drop("upto")) if upto is not None else log
+    except AnalysisException:
+        pass
+    best = F.max_by(out, F.struct(F.col(f"{out}.error").isNull(), F.col("commit")))
+    return log.groupBy(*keys).agg(best.alias(out), F.sum("calls").alias("calls"), F.max("commit").alias("commit"))
+
+
+def compact_replies(spark: SparkSession, path: str, keys: Sequence[str], out: str = "outcome") -> None:
+    """Replace the commits so far, for readers, by one row per key; writers may go on meanwhile."""
+    replies = latest_replies(spark, path, keys, out)
+    if replies is not None:
+        upto = spark.read.parquet(path).agg(F.max("commit")).first()[0]
+        write_stage(replies.where(F.col("commit") <= upto).withColumn("upto", F.lit(upto)), f"{path}-compact")
 
 
 def _asked(

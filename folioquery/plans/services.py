@@ -5,12 +5,14 @@ Models are the deterministic stand-ins, so most results can be stated in SQL.
 
 from __future__ import annotations
 
+import json
+import math
 import uuid
 
 from pyspark.sql import functions as F
 
 from folioquery.functions.text import token_count
-from folioquery.operators import answering, enrichment, indexing, models, rerank, routing
+from folioquery.operators import answering, enrichment, evaluation, indexing, models, rerank, routing
 from folioquery.operators.elements import convert_entries
 from folioquery.operators.ingestion import ingest
 from folioquery.plans import derived as D
@@ -21,7 +23,7 @@ from folioquery.plans.structure import document_chunks
 from folioquery.session import ensure_checkpoint_dir
 from folioquery.sources import html
 from folioquery.sources.tables import stage, table
-from folioquery.streaming.ingest import run_ingest
+from folioquery.streaming.ingest import attempts, dead_letters, retry_failed, run_ingest
 
 # ---- ingestion ----------------------------------------------------------------------
 
@@ -83,6 +85,44 @@ def stream_ingest_pages(spark, folder):
     return spark.read.parquet(f"{out}/results").select("doc_id", "source", "status")
 
 
+def read_marked_layout(content: bytes) -> list[dict]:
+    """A reader that fails on pages marked as torn."""
+    if content.startswith(b"%torn"):
+        raise ValueError("torn page")
+    return read_html_layout(content)
+
+
+@query("ingest_ledger", """
+SELECT page_id AS doc_id, CASE WHEN page_id % 7 = 3 THEN 'rejected' WHEN page_id % 5 = 2 THEN 'failed' ELSE 'accepted' END AS status,
+  CASE WHEN page_id % 7 = 3 THEN 'DOCUMENT_QUALITY_REJECTED' WHEN page_id % 5 = 2 THEN 'PDF_PARSE_FAILED' END AS error_code,
+  CASE WHEN page_id % 7 <> 3 AND page_id % 5 = 2 THEN 3 ELSE 1 END AS tries,
+  page_id % 7 = 3 OR page_id % 5 = 2 AS dead
+FROM pages""")
+def ingest_ledger(spark, folder):
+    """All pages through the stream in two runs over one ledger, then the failed ones again until their tries are used up.
+
+    Of the pages as they are given to the reader, some are damaged: those whose id leaves 3
+    when divided by 7 have no readable character, others whose id leaves 2 by 5 are torn.
+    """
+    ensure_checkpoint_dir(spark)
+    out = f"{spark.sparkContext.getCheckpointDir()}/ingest-{uuid.uuid4().hex}"
+    pages = table(spark, folder, "pages")
+    damaged = F.col("page_id") % 7 == 3
+    given = pages.withColumn("html", F.when(damaged, F.lit("<p>\ue000\ue001\ue002\ue003</p>")).when(
+        F.col("page_id") % 5 == 2, F.concat(F.lit("%torn"), "html")
+    ).otherwise(F.col("html")))
+    schema = given.schema
+    for part, run in ((F.col("page_id") % 2 == 0, "one"), (F.coalesce(F.col("page_id") % 2 != 0, F.lit(True)), "two")):
+        given.where(part).write.mode("append").parquet(f"{out}/inbox")
+        stream = page_files(spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(f"{out}/inbox"))
+        run_ingest(stream, out, read_marked_layout, read_html_pages, stall_limit=3)
+    retry_failed(page_files(given), out, read_marked_layout, read_html_pages)
+    dead = dead_letters(spark, out).select("doc_id", F.lit(True).alias("dead"))
+    return attempts(spark, out).join(dead, "doc_id", "left").select(
+        "doc_id", "status", "error_code", F.col("tries").cast("int").alias("tries"), F.coalesce("dead", F.lit(False)).alias("dead")
+    )
+
+
 # ---- model stages -----------------------------------------------------------------------
 
 
@@ -239,6 +279,14 @@ def weak_evidence(spark, folder):
     )
 
 
+def conversation_chunks(spark, folder):
+    """Conversations as reports of one chunk a turn."""
+    return table(spark, folder, "conversations").select(
+        F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("doc_id"), F.col("turn").alias("chunk_id"), "text",
+        token_count(F.col("text")).alias("length_tokens"),
+    )
+
+
 @query("index_round_trip", """
 SELECT 'c' || conv_id AS doc_id, CASE WHEN bool_or(trim(text) = '') THEN 'failed' ELSE 'indexed' END AS status,
   CASE WHEN NOT bool_or(trim(text) = '') THEN count(*) END AS n_chunks,
@@ -249,10 +297,7 @@ def index_round_trip(spark, folder):
     """Conversations as reports, indexed in two runs and read back: the second run only skips."""
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/index-{uuid.uuid4().hex}"
-    chunks = table(spark, folder, "conversations").select(
-        F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("doc_id"), F.col("turn").alias("chunk_id"), "text",
-        token_count(F.col("text")).alias("length_tokens"),
-    )
+    chunks = conversation_chunks(spark, folder)
     embedder = models.HashingEmbedder(16)
     first = stage(indexing.update_index(chunks, path, embedder, "hashing"), "first-run")
     indexing.update_index(chunks, path, embedder, "hashing")
@@ -264,6 +309,124 @@ def index_round_trip(spark, folder):
     )
 
 
+_INDEXED = f"""
+indexed AS (
+  SELECT 'c' || conv_id AS doc_id, count(*) AS n, ('0x' || md5('c' || conv_id)[1:4])::INT % {indexing.BUCKETS} AS bucket
+  FROM conversations GROUP BY conv_id HAVING NOT bool_or(trim(text) = '')
+),
+asked AS (SELECT * FROM indexed JOIN (SELECT DISTINCT 'c' || item_id AS doc_id FROM benchmark) USING (doc_id))"""
+
+
+@query("index_lookup", f"""
+WITH {_INDEXED},
+rows_ AS (
+  SELECT unnest(['lexical', 'vectors', 'meta']) AS part, doc_id, bucket, unnest([n, n, 1]) AS n FROM asked
+)
+SELECT part, count(DISTINCT doc_id) AS n_reports, sum(n)::BIGINT AS n_rows, count(DISTINCT bucket) AS n_files_read,
+  (SELECT count(DISTINCT bucket) FROM indexed) AS n_files FROM rows_ GROUP BY part""")
+def index_lookup(spark, folder):
+    """Conversations as reports, of which those that share their number with a benchmark item are read back.
+
+    A report's rows lie in one file of its bucket, so the files read are the buckets of the asked reports.
+    """
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/index-{uuid.uuid4().hex}"
+    indexing.update_index(conversation_chunks(spark, folder), path, models.HashingEmbedder(16), "hashing")
+    asked = table(spark, folder, "benchmark").select(F.concat(F.lit("c"), F.col("item_id").cast("string")).alias("doc_id"))
+    current = indexing.asked_reports(spark, path, asked)
+    out = None
+    for part, rows in zip(indexing.PARTS, indexing.read_index(spark, path, asked)):
+        opened, everything = (indexing.opened_files(spark, path, part, c).agg(F.count("*")) for c in (current, None))
+        row = rows.agg(
+            F.count_distinct("route" if part == "lexical" else "doc_id").alias("n_reports"), F.count("*").alias("n_rows")
+        ).select(F.lit(part).alias("part"), "*", opened.scalar().alias("n_files_read"), everything.scalar().alias("n_files"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+class Moody:
+    """A model that, until it is cured, answers no text of odd length; a reply tells the length."""
+
+    def __init__(self, cured: bool):
+        self.cured = cured
+
+    def reply(self, request: dict) -> str:
+        n = len(request["text"])
+        if n % 2 and not self.cured:
+            raise RuntimeError("no reply")
+        return json.dumps({"length": n})
+
+
+@query("durable_replies", """
+SELECT conv_id, turn, length(text) AS reply_length, CASE WHEN length(text) % 2 = 1 THEN 3 ELSE 1 END::BIGINT AS calls, 'true' AS settled
+FROM conversations WHERE role = 'user'""")
+def durable_replies(spark, folder):
+    """User turns asked of a model in three runs over one log, compacted between them.
+
+    The first run gets no reply to texts of odd length after two tries, the second asks only
+    those again, the third has nothing left to ask.
+    """
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/replies-{uuid.uuid4().hex}"
+    keys, turns = ["conv_id", "turn"], table(spark, folder, "conversations").where("role = 'user'").select("conv_id", "turn", "text")
+    models.ask_durably(turns, keys, Moody(False), ["text"], models.check_object, path, batches=2, retries=2)
+    models.compact_replies(spark, path, keys)
+    models.ask_durably(turns, keys, Moody(True), ["text"], models.check_object, path, batches=2, retries=2)
+    before = models.latest_replies(spark, path, keys).agg(F.sum("calls")).first()[0]
+    models.ask_durably(turns, keys, Moody(True), ["text"], models.check_object, path, batches=2)
+    replies = models.latest_replies(spark, path, keys)
+    return replies.select(
+        *keys, F.get_json_object("outcome.reply", "$.length").cast("long").alias("reply_length"), "calls",
+        F.lit(replies.agg(F.sum("calls")).first()[0] == before).cast("string").alias("settled"),
+    )
+
+
+class Grader:
+    """A judge whose marks follow from what it is shown; some it gives as NaN, some not at all."""
+
+    def reply(self, request: dict) -> str:
+        n, question = len(request["retrieved_contexts"]), int(request["user_input"])
+        marks = {"faithfulness": n / 8, "answer_relevancy": math.nan if question % 2 else 0.25}
+        if question % 3:
+            marks["context_precision"] = len(request["response"]) / 64
+        return json.dumps(marks)
+
+
+@query("judge_report", f"""
+WITH cut AS (
+  SELECT conv_id, count(*) FILTER (nth = 1 OR total <= {evaluation.METRIC_CONTEXT_CHARS}) AS n FROM (
+    SELECT conv_id, sum(length(text)) OVER w AS total, row_number() OVER w AS nth FROM conversations
+    WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) GROUP BY conv_id
+),
+judged AS (
+  SELECT d.doc_id AS q, length(d.source) / 64 AS precision, coalesce(c.n, 0) AS n,
+    CASE WHEN coalesce(l.quality = 0, false) OR d.lang = 'de' THEN 'na' WHEN c.n IS NULL THEN 'no_contexts' ELSE 'rated' END AS verdict
+  FROM documents d LEFT JOIN labels l USING (doc_id) LEFT JOIN cut c ON c.conv_id = d.doc_id
+),
+marks AS (
+  SELECT verdict, CASE WHEN verdict = 'rated' THEN n / 8 END AS f, CASE WHEN verdict = 'rated' AND q % 2 = 0 THEN 0.25 END AS r,
+    CASE WHEN verdict = 'rated' AND q % 3 <> 0 THEN precision END AS p FROM judged
+)
+SELECT coalesce(verdict, 'all') AS verdict, count(*) AS n_rows, count(f) AS n_faithfulness, count(r) AS n_answer_relevancy,
+  count(p) AS n_context_precision, round(avg(f), 6) AS faithfulness, round(avg(r)::DOUBLE, 6) AS answer_relevancy,
+  round(avg(p), 6) AS context_precision
+FROM marks GROUP BY ROLLUP (verdict)""")
+def judge_report(spark, folder):
+    """Documents as questions whose answer is their source, with the turns of the conversation of their number as contexts.
+
+    Answers to documents of low quality are N/A, and so is the truth about German ones.
+    """
+    docs = table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("question"), "lang", "source")
+    low = table(spark, folder, "labels").where("quality = 0").select(F.col("doc_id").cast("string").alias("question"), F.lit(True).alias("low"))
+    answers = docs.join(low, "question", "left").select("question", F.when(F.col("low"), "N/A").otherwise(F.col("source")).alias("final_answer"))
+    gold = docs.select("question", F.array(F.struct(F.when(F.col("lang") == "de", "N/A").otherwise(F.col("source")).alias("text"))).alias("golds"))
+    contexts = table(spark, folder, "conversations").select(
+        F.col("conv_id").cast("string").alias("question"), F.col("turn").alias("ordinal"), "text"
+    )
+    report = evaluation.judge_report(answers, gold, contexts, Grader())
+    return report.withColumns({m: F.round(m, 6) for m in ("faithfulness", "answer_relevancy", "context_precision")})
+
+
 # ---- question answering -------------------------------------------------------------------
 
 

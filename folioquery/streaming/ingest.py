@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from folioquery.functions.text import stem
 from folioquery.operators.ingestion import LayoutReader, PageReader, ingest
+from folioquery.sources.tables import stage
 
 
 def file_stream(spark: SparkSession, folder: str, max_files: int = 10) -> DataFrame:
@@ -23,22 +26,33 @@ def file_stream(spark: SparkSession, folder: str, max_files: int = 10) -> DataFr
     )
 
 
+class Stalled(RuntimeError):
+    """Several batches in a row did not bring a single report."""
+
+
 def run_ingest(
     stream: DataFrame, out: str, layout_reader: LayoutReader, page_reader: PageReader | None = None,
-    metadata: DataFrame | None = None, done: Callable[[], DataFrame] | None = None,
+    metadata: DataFrame | None = None, done: Callable[[], DataFrame] | None = None, stall_limit: int | None = None,
 ) -> None:
     """Ingest everything available and stop.
 
-    Each batch replaces its own partition of the result and report tables, so a
-    batch that is run again after a failure leaves no duplicates; the checkpoint is
-    the ledger of seen files and failed files stay in the result table.
+    Each batch replaces its own partition of the result, report and ledger tables, so a
+    batch that is run again after a failure leaves no duplicates; the checkpoint knows the
+    files that were seen and failed files stay in the result table. The ledger counts the
+    attempts of every file. With a ``stall_limit`` the run ends with ``Stalled`` when so many
+    batches in a row brought no report; a later run goes on from there and counts anew.
     """
+    stalled = 0
 
     def one(batch: DataFrame, batch_id: int) -> None:
+        nonlocal stalled
         finished = done() if done else batch.select("doc_id").limit(0)
-        results, reports = ingest(batch, finished, layout_reader, page_reader, metadata, out=out)
-        for df, name in ((results, "results"), (reports, "reports")):
-            df.write.mode("overwrite").parquet(f"{out}/{name}/batch={batch_id}")
+        if stall_limit is not None:
+            finished = finished.select("doc_id").unionByName(ingested(batch.sparkSession, out).select("doc_id"))
+        progress = _write_batch(batch, finished, out, f"batch={batch_id}", layout_reader, page_reader, metadata)
+        stalled = 0 if progress else stalled + 1
+        if stall_limit is not None and stalled >= stall_limit:
+            raise Stalled(f"{stalled} batches without a report; the files are in {out}/ledger")
 
     query = (
         stream.writeStream.foreachBatch(one).option("checkpointLocation", f"{out}/_ledger")
@@ -47,6 +61,68 @@ def run_ingest(
     query.awaitTermination()
 
 
+def _write_batch(
+    files: DataFrame, finished: DataFrame, out: str, folder: str, layout_reader: LayoutReader, page_reader: PageReader | None,
+    metadata: DataFrame | None,
+) -> bool:
+    """Ingest some files; whether any of them is a report now or was one before."""
+    results, reports = ingest(files, finished, layout_reader, page_reader, metadata, out=out)
+    results = stage(results, "results")
+    for df, name in ((results, "results"), (reports, "reports")):
+        df.write.mode("overwrite").parquet(f"{out}/{name}/{folder}")
+    # the ledger comes last: a batch without one has not happened
+    tried = results.select("doc_id", "source", "status", "error_code", F.current_timestamp().alias("at"))
+    tried.write.mode("overwrite").parquet(f"{out}/ledger/{folder}")
+    return not results.where(F.col("status").isin("accepted", "skipped")).isEmpty()
+
+
+def attempts(spark: SparkSession, out: str) -> DataFrame:
+    """(doc_id, source, tries, status, error_code, at): each file's attempts and what came of the last one.
+
+    Passing over a finished file is no attempt.
+    """
+    schema = "doc_id string, source string, status string, error_code string, at timestamp, batch string"
+    try:
+        rows = spark.read.parquet(f"{out}/ledger").where("status <> 'skipped'")
+    except AnalysisException:  # nothing was tried yet
+        return spark.createDataFrame([], schema).select("doc_id", "source", F.lit(0).cast("long").alias("tries"), "status", "error_code", "at")
+    last = F.max_by(F.struct("source", "status", "error_code", "at"), F.struct("at", (F.col("status") == "accepted")))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("tries"), last.alias("l")).select("doc_id", "l.source", "tries", "l.status", "l.error_code", "l.at")
+
+
+def ingested(spark: SparkSession, out: str) -> DataFrame:
+    """Files that are reports."""
+    return attempts(spark, out).where("status = 'accepted'")
+
+
+def dead_letters(spark: SparkSession, out: str, max_tries: int = 3) -> DataFrame:
+    """Files nobody will try again: rejected for their text, or failed ``max_tries`` times."""
+    return attempts(spark, out).where((F.col("status") == "rejected") | ((F.col("status") == "failed") & (F.col("tries") >= max_tries)))
+
+
+def retry_failed(
+    files: DataFrame, out: str, layout_reader: LayoutReader, page_reader: PageReader | None = None,
+    metadata: DataFrame | None = None, max_tries: int = 3, stall_limit: int = 3, per_round: int = 10_000,
+) -> int:
+    """Try failed files again, in rounds of at most ``per_round``, those tried least and longest ago first.
+
+    ``files`` has the rows the stream had. Ends when no failed file has tries left, or after
+    ``stall_limit`` rounds in a row without a new report. Returns the number of rounds.
+    """
+    spark, rounds, stalled = files.sparkSession, 0, 0
+    while stalled < stall_limit:
+        open_ = attempts(spark, out).where((F.col("status") == "failed") & (F.col("tries") < max_tries))
+        chosen = stage(open_.orderBy("tries", "at", "doc_id").limit(per_round).select("doc_id"), "round")
+        if chosen.isEmpty():
+            break
+        again = files.join(chosen, "doc_id", "left_semi")
+        progress = _write_batch(
+            again, ingested(spark, out).select("doc_id"), out, f"batch=retry-{time.time_ns()}", layout_reader, page_reader, metadata
+        )
+        rounds, stalled = rounds + 1, 0 if progress else stalled + 1
+    return rounds
+
+
 def failures(spark: SparkSession, out: str) -> DataFrame:
     """Files that did not become reports, with the reason."""
     return spark.read.parquet(f"{out}/results").where(F.col("status").isin("failed", "rejected"))
