@@ -42,7 +42,7 @@ from folioquery.llm.tokens import byte_slices, default_tokenizer, word_ids
 LIMIT = 2048
 CACHE_DDL = "version string, key binary, n_tokens long"
 #: Missing keys (32 bytes each) that are broadcast to the scan; more meet the texts in a shuffle.
-BROADCAST_KEYS = 1 << 18
+BROADCAST_KEYS = 1 << 14
 #: A key is hot with more than this share of the rows, and more than MIN_HOT of them.
 HOT_SHARE = 1000
 MIN_HOT = 1000
