@@ -126,6 +126,14 @@ def answer_tasks(
         "_bad_kind",
         F.when(~F.col("kind").isin(*KINDS), F.concat(F.lit("unknown kind "), "kind")),
     )
+    embedded = embed_texts(
+        tasks.select(F.col("doc_id").alias("route"), F.col("task_id").alias("question_id"), F.col("question").alias("text")),
+        "text", with_models.embedder,
+    )
+    # A question without a vector is answered by its error; it is neither searched nor asked.
+    tasks = tasks.join(
+        embedded.select(F.col("question_id").alias("task_id"), F.col("embedding_error").alias("_no_vector")), "task_id", "left"
+    )
     # Only the reports that were asked about are read further.
     asked_docs = tasks.select("doc_id").distinct()
     corpus = stage(
@@ -134,16 +142,13 @@ def answer_tasks(
         ),
         "corpus",
     )
-    asked = tasks.select(F.col("doc_id").alias("route"), F.col("task_id").alias("question_id"),
-                         F.col("question").alias("text"))
+    asked = embedded.where(F.col("embedding_error").isNull()).drop("embedding_error")
     index = lexical.build_index(corpus)
-    lexical_hits = lexical.bm25_topk(index, asked, options.k)
+    lexical_hits = lexical.bm25_topk(index, asked.drop("embedding"), options.k)
     chunk_vectors = embeddings.join(asked_docs, "doc_id", "left_semi").withColumnRenamed(
         "doc_id", "route"
     )
-    vector_hits = vectors.cosine_topk(
-        chunk_vectors, embed_texts(asked, "text", with_models.embedder), options.k
-    )
+    vector_hits = vectors.cosine_topk(chunk_vectors, asked, options.k)
     fused = fusion.fuse_hits(vector_hits, lexical_hits, options.vector_weight, options.candidates)
     candidates = (
         fused.join(corpus, ["route", "chunk_id"])
@@ -178,7 +183,7 @@ def answer_tasks(
             "weak": F.coalesce("weak", F.lit(options.weak_threshold > 0)),
         })
         .withColumn("context", F.array_join(blocks, "\n\n---\n\n"))
-        .withColumn("_refused", F.col("_bad_kind").isNotNull())
+        .withColumn("_refused", F.coalesce("_bad_kind", "_no_vector").isNotNull())
     )
     replies = models.ask(
         ready, with_models.answerer, ["question", "kind", "context", "pages", "weak"],
@@ -190,7 +195,7 @@ def answer_tasks(
         "relevant_pages", parents.valid_pages(cited, F.col("pages"))
     )
     return answered.select(
-        *[c for c in tasks.columns if c != "_bad_kind"],
+        *[c for c in tasks.columns if c not in ("_bad_kind", "_no_vector")],
         F.coalesce(F.get_json_object(reply, "$.final_answer"), F.lit("N/A")).alias("final_answer"),
         F.get_json_object(reply, "$.reasoning_summary").alias("reasoning_summary"),
         F.coalesce("relevant_pages", F.array().cast("array<int>")).alias("relevant_pages"),
@@ -198,7 +203,7 @@ def answer_tasks(
             parents.references(F.col("relevant_pages"), F.col("sha1")).cast(_REFERENCES),
             F.array().cast(_REFERENCES),
         ).alias("references"),
-        "contexts", F.coalesce("_bad_kind", F.col("outcome.error")).alias("error"),
+        "contexts", F.coalesce("_bad_kind", "_no_vector", F.col("outcome.error")).alias("error"),
     )
 
 

@@ -304,10 +304,39 @@ def embedded_documents(embeddings: DataFrame) -> tuple[DataFrame, DataFrame]:
     return embeddings.join(failed.select("doc_id"), "doc_id", "left_anti").drop("error"), failed
 
 
-def embed_texts(df: DataFrame, text: str, embedder, out: str = "embedding") -> DataFrame:
-    """Unit vectors of single texts such as questions."""
-    @F.pandas_udf("array<double>")
-    def embed(texts: pd.Series) -> pd.Series:
-        return pd.Series([v for _, v in sorted(embedder.embed(list(texts)))])
+def embed_texts(df: DataFrame, text: str, embedder, out: str = "embedding", retries: int = 3) -> DataFrame:
+    """Unit vectors of single texts such as questions, and ``<out>_error`` where there is none.
 
-    return df.withColumn(out, embed(F.col(text))).withColumn(out, l2_normalize(F.col(out)))
+    A batch is embedded in one call. If that fails, or the number or size of the vectors is
+    wrong, its texts are embedded one by one, each tried ``retries`` times, so that one text
+    costs no other its vector. The result is a stage table.
+    """
+
+    def vectors_of(texts: list[str]) -> list:
+        got = [v for _, v in sorted(embedder.embed(texts), key=lambda p: p[0])]
+        if len(got) != len(texts) or len({len(v) for v in got}) != 1:
+            raise ValueError(f"{len(got)} vectors of sizes {sorted({len(v) for v in got})} for {len(texts)} texts")
+        return got
+
+    def single(one: str) -> tuple:
+        problem = None
+        for _ in range(retries):
+            try:
+                return vectors_of([one])[0], None
+            except Exception as e:  # noqa: BLE001 - tried again, then reported with the row
+                problem = f"{type(e).__name__}: {e}"
+        return None, problem
+
+    @F.pandas_udf("vector array<double>, error string")
+    def embed(texts: pd.Series) -> pd.DataFrame:
+        texts = [t or "" for t in texts]
+        try:
+            rows = [(v, None) for v in vectors_of(texts)] if texts else []
+        except Exception:  # noqa: BLE001 - one text must not fail the others
+            rows = [single(t) for t in texts]
+        return pd.DataFrame(rows, columns=["vector", "error"])
+
+    got = df.withColumn("_got", embed(F.col(text)))
+    return stage(
+        got.select(*df.columns, l2_normalize(F.col("_got.vector")).alias(out), F.col("_got.error").alias(f"{out}_error")), "text-vectors"
+    )

@@ -7,8 +7,10 @@ from __future__ import annotations
 
 import json
 import math
+import re
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from folioquery.functions.text import token_count
@@ -467,3 +469,80 @@ def answer_questions(spark, folder):
         F.to_json("relevant_pages").alias("relevant_pages"), F.size("references").alias("n_references"),
         F.size("contexts").alias("n_contexts"), "error",
     )
+
+
+class AccountAnswerer:
+    """Looks the account of the question up in the context."""
+
+    def reply(self, request: dict) -> str:
+        number = re.search(r"#(\d+)", request["question"])[1]
+        page = re.search(rf"Page (\d+):\n\"\"\"\n[^\"]*#{number} holds (-?[\d.]+)", request["context"])
+        return json.dumps({
+            "step_by_step_analysis": "looked up", "reasoning_summary": "looked up",
+            "relevant_pages": [int(page[1])] if page else [], "final_answer": float(page[2]) if page else "N/A",
+        })
+
+
+class PickyEmbedder(models.HashingEmbedder):
+    """Cannot embed texts with a currency sign."""
+
+    def embed(self, texts: list[str]) -> list[tuple[int, list[float]]]:
+        if any("\u00a4" in t for t in texts):
+            raise ValueError("cannot embed")
+        return super().embed(texts)
+
+
+@query("answer_chain", """
+WITH suppliers AS (
+  SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) + 1 AS page, s_suppkey % 4 AS how
+  FROM supplier JOIN nation ON n_nationkey = s_nationkey
+)
+SELECT s_suppkey AS question_id,
+  CASE how WHEN 0 THEN 'single' WHEN 1 THEN 'comparative' WHEN 2 THEN 'unanswerable' ELSE 'single' END AS route_kind,
+  CASE how WHEN 0 THEN s_acctbal::DOUBLE END AS amount, CASE how WHEN 1 THEN lower(n_name) WHEN 0 THEN '' ELSE 'N/A' END AS answer,
+  CASE how WHEN 0 THEN page END::INT AS first_page, CASE how WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS n_reports,
+  CASE how WHEN 3 THEN 'ValueError: cannot embed' END AS error
+FROM suppliers""")
+def answer_chain(spark, folder):
+    """Every supplier's account asked of the reports of nations, a title and a page to a supplier, through the whole chain.
+
+    By its number a supplier's question names the nation's report, that and another one, none, or
+    one in words that cannot be embedded: an answer, a comparison, N/A, and an error that costs no other question anything.
+    """
+    nation = table(spark, folder, "nation").select("n_nationkey", "n_name", F.lower("n_name").alias("doc_id"))
+    suppliers = table(spark, folder, "supplier").join(nation, F.col("n_nationkey") == F.col("s_nationkey"))
+    page = F.row_number().over(Window.partitionBy("doc_id").orderBy("s_suppkey")) + 1
+    text = F.concat("s_name", F.lit(" holds "), F.col("s_acctbal").cast("double").cast("string"), F.lit(" in the account"))
+    titles = nation.select("doc_id", F.lit(1).alias("page"), F.concat(F.lit("Accounts of "), "n_name").alias("text"))
+    chunks = stage(titles.unionByName(suppliers.select("doc_id", page.alias("page"), text.alias("text"))).select(
+        "doc_id", (F.col("page") - 1).cast("long").alias("chunk_id"), "page", "text", token_count(F.col("text")).alias("length_tokens"),
+    ), "accounts")
+    metadata = nation.select(
+        F.col("n_name").alias("company"), F.concat(F.lit("raw/"), "doc_id", F.lit(".pdf")).alias("filename"),
+        F.col("n_nationkey").cast("long").alias("csv_ord"),
+    )
+    other = nation.select((F.pmod(F.col("n_nationkey") - 1, F.lit(25))).alias("s_nationkey"), F.col("n_name").alias("other"))
+    how = F.col("s_suppkey") % 4
+    asked = (
+        F.when(how == 0, F.concat(F.lit("How much does "), "s_name", F.lit(" of "), "n_name", F.lit(" hold?")))
+        .when(how == 1, F.concat(F.lit("Who knows "), "s_name", F.lit(", "), "n_name", F.lit(" or "), "other", F.lit("?")))
+        .when(how == 2, F.concat(F.lit("How much does "), "s_name", F.lit(" hold?")))
+        .otherwise(F.concat(F.lit("How much \u00a4 does "), "s_name", F.lit(" of "), "n_name", F.lit(" hold?")))
+    )
+    questions = suppliers.join(other, "s_nationkey").select(
+        F.col("s_suppkey").alias("question_id"), asked.alias("question"), F.lit("number").alias("kind")
+    )
+    routed = stage(routing.route_questions(questions, routing.vocabulary(metadata, chunks)), "routed")
+    vectors, _ = enrichment.embedded_documents(enrichment.embed_chunks(chunks, models.HashingEmbedder()))
+    fingerprints = nation.select("doc_id", F.sha1("doc_id").alias("sha1"))
+    answers = answering.answer_questions(
+        routed, chunks, chunks.select("doc_id", "page", "text"), vectors, fingerprints,
+        answering.Models(answerer=AccountAnswerer(), embedder=PickyEmbedder()),
+    )
+    amount = F.when(F.size("doc_ids") < 2, F.col("final_answer").try_cast("double"))
+    return answers.select(
+        "question_id", routing.dispatch(F.col("doc_ids")).alias("route_kind"), amount.alias("amount"),
+        F.when(amount.isNotNull(), "").otherwise(F.col("final_answer")).alias("answer"),
+        F.get("relevant_pages", F.lit(0)).alias("first_page"),
+        F.when(F.col("error").isNull(), F.size("doc_ids")).otherwise(0).alias("n_reports"), "error",
+    )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -17,9 +18,27 @@ SKIPPED = {"head", "script", "style", "template"}
 BOILERPLATE = {"nav", "footer", "aside"}
 
 
-class _Entries(HTMLParser):
+class TolerantParser(HTMLParser):
+    """A parser no page can stop: unknown marked sections end at the next ``>``, and markup the page breaks off goes."""
+
+    _MARKUP = re.compile(r"<[!?/A-Za-z]")
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        end = self.rawdata.find(">", i + 3)
+        return end + 1 if end >= 0 else -1
+
+    def close(self) -> None:
+        if self._MARKUP.match(self.rawdata):
+            self.rawdata = ""
+        super().close()
+
+
+class _Entries(TolerantParser):
+    def __init__(self) -> None:
+        super().__init__()
         self.entries: list[dict] = []
         self.words: list[str] = []
         self.level = 0
