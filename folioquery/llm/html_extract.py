@@ -12,7 +12,9 @@ The model is trained here on labelled pages formed by rule (``training_pages``).
 Defined results: a null or empty page, or one without an article, gives an empty text and
 0 characters. Tags left open end with their parent or with the next block that cannot lie
 inside them; a line break element counts as white space. Head, scripts, styles and other
-unseen elements hold no text. Repeated rows give equal texts; other columns are ignored.
+unseen elements hold no text. Marked sections of unknown kind, and comments and tags the page
+breaks off, are markup and go. A page takes time in proportion to its length, however its
+tags nest. Repeated rows give equal texts; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +22,6 @@ from __future__ import annotations
 import random
 import re
 from dataclasses import dataclass, field
-from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioquery.llm.common import slices
+from folioquery.sources.html import TolerantParser
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = frozenset("head script style template noscript title svg iframe object canvas".split())
@@ -39,6 +41,8 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
         "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
 #: Elements that such an end does not reach beyond.
 FENCES = frozenset("html body article main section div ul ol dl table nav aside header footer form blockquote".split())
+#: Attribute that carries the label of a training page's nodes; elsewhere it is an attribute like any other.
+MARK = "data-article"
 TOKEN = re.compile(r"[a-z]+")
 SENTENCE = re.compile(r"[.!?,;:](?:\s|$)")
 
@@ -55,11 +59,15 @@ class Dom:
     runs: list[tuple[int, int, str]] = field(default_factory=list)
 
 
-class _Builder(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
+class _Builder(TolerantParser):
+    def __init__(self, labelled: bool) -> None:
+        super().__init__()
         self.dom = Dom()
+        self.labelled = labelled
         self.stack: list[int] = []
+        #: places of each open tag in the stack, and of the open fences
+        self.places: dict[str, list[int]] = {}
+        self.fences: list[int] = [0]
         self.unseen = 0
         self.block = 0
         self._open("#page", [])
@@ -72,8 +80,11 @@ class _Builder(HTMLParser):
         for name, value in attrs:
             if name in ("class", "id", "role", "aria-label", "itemprop"):
                 tokens += TOKEN.findall((value or "").lower())
-            elif name == "data-article":
+            elif self.labelled and name == MARK:
                 label = int(value or 0)
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in FENCES:
+            self.fences.append(len(self.stack))
         self.stack.append(len(d.tag))
         d.tag.append(tag)
         d.parent.append(up)
@@ -85,17 +96,17 @@ class _Builder(HTMLParser):
     def _close_to(self, depth: int) -> None:
         while len(self.stack) > depth:
             tag = self.dom.tag[self.stack.pop()]
+            self.places[tag].pop()
+            if tag in FENCES:
+                self.fences.pop()
             self.unseen -= tag in UNSEEN
             self.block += tag not in INLINE
 
     def _end_open(self, kinds: set[str]) -> None:
-        for at in range(len(self.stack) - 1, 0, -1):
-            tag = self.dom.tag[self.stack[at]]
-            if tag in kinds:
-                self._close_to(at)
-                return
-            if tag in FENCES:
-                return
+        """Close the nearest of ``kinds`` that no fence encloses."""
+        at = max((self.places[k][-1] for k in kinds if self.places.get(k)), default=0)
+        if at and at >= self.fences[-1]:
+            self._close_to(at)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in ENDS:
@@ -115,21 +126,18 @@ class _Builder(HTMLParser):
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
-        for at in range(len(self.stack) - 1, 0, -1):
-            if self.dom.tag[self.stack[at]] == tag:
-                self._close_to(at)
-                return
-            if tag in INLINE and self.dom.tag[self.stack[at]] in FENCES:
-                return
+        at = self.places[tag][-1] if self.places.get(tag) else 0
+        if at and (tag not in INLINE or at >= self.fences[-1]):
+            self._close_to(at)
 
     def handle_data(self, data: str) -> None:
         if not self.unseen:
             self.dom.runs.append((self.stack[-1], self.block, data))
 
 
-def parse(html: str | None) -> Dom:
-    """The nodes and text runs of a page."""
-    builder = _Builder()
+def parse(html: str | None, labelled: bool = False) -> Dom:
+    """The nodes and text runs of a page; labels are read from MARK only where they are meant, in training."""
+    builder = _Builder(labelled)
     builder.feed(html or "")
     builder.close()
     return builder.dom
@@ -287,7 +295,7 @@ NEUTRAL_WORDS = "wrap container row col box inner outer block layout grid left r
 
 
 class _Writer:
-    """Writes one labelled page; data-article marks where the label changes."""
+    """Writes one labelled page; MARK tells where the label changes."""
 
     def __init__(self, rng: random.Random):
         self.rng = rng
@@ -352,7 +360,7 @@ class _Writer:
             ),
             "share": lambda: "".join(f"<a href='/s'>{self.prose(1, 1)}</a>" for _ in range(r.randint(2, 5))),
         }[kind]()
-        return f'<{tag}{named} data-article="0">{inside}</{tag}>'
+        return f'<{tag}{named} {MARK}="0">{inside}</{tag}>'
 
     def some(self, kinds: tuple[str, ...], chance: float) -> str:
         return "".join(self.box(k) for k in kinds if self.rng.random() < chance)
@@ -368,7 +376,7 @@ class _Writer:
         named = self.names(CONTENT_WORDS)
         if tag in ("div", "section") and not named:
             named = ' class="content"'
-        body = f'<{tag}{named} data-article="1">{inner}</{tag}>'
+        body = f'<{tag}{named} {MARK}="1">{inner}</{tag}>'
         for _ in range(r.randint(0, 2)):
             body = f"<div{self.names(NEUTRAL_WORDS)}>{self.some(('advert', 'sidebar', 'notice'), 0.2)}{body}{self.some(('sidebar', 'comments', 'advert'), 0.2)}</div>"
         head = self.some(("notice", "header", "menu", "advert", "form"), 0.5)
@@ -393,7 +401,7 @@ def _odds(pairs: list[tuple[str, int]]) -> dict[str, float]:
 def train(pages: list[str]) -> NodeModel:
     """Fit tag and token odds, then symmetric trees, on labelled pages."""
     model = NodeModel()
-    doms = [parse(p) for p in pages]
+    doms = [parse(p, labelled=True) for p in pages]
     model.tag_odds = _odds([(t, y) for d in doms for t, y in zip(d.tag, d.label, strict=True)])
     model.token_odds = _odds([(t, y) for d in doms for ts, y in zip(d.tokens, d.label, strict=True) for t in ts])
     x = np.concatenate([node_features(d, model) for d in doms])

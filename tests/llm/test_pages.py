@@ -74,7 +74,7 @@ def test_labels_of_held_out_pages_are_found(model):
     same = 0
     pages = H.training_pages(100, seed=123)
     for page in pages:
-        dom = H.parse(page)
+        dom = H.parse(page, labelled=True)
         same += H.main_text(dom, np.array(dom.label, bool)) == H.extract_texts([page], model)[0]
     assert same >= 95
 
@@ -118,3 +118,38 @@ def test_odd_pages(spark, model):
     assert [got[i] for i in (0, 1, 5, 6, 9, 10)] == [("", 0)] * 6
     assert got[8][0] == prose + "tail <b> x\ntwo" and len(got) == len(pages)
     assert H.extract(df.limit(0), model).count() == 0
+
+
+def test_malformed_pages(spark, model):
+    prose = "Some words of an article, which goes on for a while. " * 12
+    body = f"<article><p>{prose}</p></article>"
+    pages = [body + "<![foo[ x", "<![foo[ x>" + body, "<![ temp" , "<![if IE]>" + body + "<![endif]>", body.replace("<p>", '<p data-article="x1">'),
+             body.replace("<p>", '<p data-article="0">'), body + "<!-- a", body + "<a href=x", "<!-- a", "<a href='x", "<?php x", body + "<![CDATA[ x ]]>"]
+    df = spark.createDataFrame(list(enumerate(pages)) * 2, "page_id long, html string").withColumn("url", H.F.lit("u"))
+    rows = [(r.page_id, r.text) for r in H.extract(df, model).collect()]
+    got = dict(rows)
+    assert len(rows) == 2 * len(pages) and set(rows) == set(got.items())  # repeated rows give equal texts
+    for i in (0, 1, 3, 4, 5, 6, 7, 11):
+        assert got[i] == prose.strip(), i
+    assert [got[i] for i in (2, 8, 9, 10)] == [""] * 4
+
+
+@pytest.mark.parametrize("unit", ["<b>{}</i>", "<div>{}</p>", "<table><b>{}</i><p></table>", "<p><span>{}<div></em>"])
+def test_nested_pages_take_linear_time(unit):
+    import time
+
+    def seconds(n):
+        opening, closing = unit.split("{}")
+        page = opening * n + "x" + closing * n
+        start = time.process_time()
+        H.parse(page)
+        return time.process_time() - start
+
+    seconds(500)
+    assert seconds(16_000) < 12 * max(seconds(4_000), 0.02)
+    assert seconds(16_000) < 4
+
+
+def test_very_long_page(model):
+    page = "<article>" + "<p>Words of a paragraph that go on, and on.</p>" * 20_000 + "</article>"
+    assert len(H.extract_texts([page], model)[0].split("\n")) == 20_000
