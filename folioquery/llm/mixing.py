@@ -3,16 +3,16 @@
 Documents are counted in cells of source, language and topic, in tokens. Raking scales
 the cells until their sums along every dimension meet the targets; a cell's factor is
 the probability with which its documents are kept, at most 1. A document is kept when
-the hash of its id, as a number in [0, 1), lies below the probability: the same documents
-in every run, whatever the partitioning.
+the hash of its id (of its text, if it has no id), as a number in [0, 1), lies below the
+probability: the same documents in every run, whatever the partitioning.
 
 A value that a target does not name belongs to the cell value "other", whose share stays
 as observed; so there are at most the product of the targets' sizes plus one of cells,
 whatever the corpus holds, and the cells may be gathered and broadcast.
 
 Defined results: null values count as "other"; a null or empty text has no tokens and
-does not sway the fit; repeated rows are kept or dropped together; extra columns are
-carried along; an empty table stays empty.
+does not sway the fit; rows of one id, and rows without id of one text, are kept or dropped
+together; extra columns are carried along; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -88,8 +88,13 @@ def mix(
     targets = targets or TARGETS
     spark = docs.sparkSession
     # tokens are counted before the join, so that a caller who drops the text does not move it
-    counted_docs = packed(docs, "doc_id", "source", "lang", tokens(F.col("text")).alias("mix_tokens"))
-    marked = counted_docs.join(topic, F.col("doc_id") == F.col("topic_id"), "left").drop("topic_id")
+    counted_docs = packed(
+        docs, "doc_id", "source", "lang", tokens(F.col("text")).alias("mix_tokens"), F.xxhash64("text").alias("mix_text")
+    )
+    # rows without an id have no topic and would all meet in one task
+    marked = counted_docs.filter("doc_id is not null").join(topic, F.col("doc_id") == F.col("topic_id"), "left").drop(
+        "topic_id"
+    ).unionByName(counted_docs.filter("doc_id is null"), allowMissingColumns=True)
     values = {"source": F.col("source"), "lang": F.col("lang"), "topic": F.col("topic_value")}
     for name, column in values.items():
         known = column.isin(list(targets[name]))
@@ -103,10 +108,11 @@ def mix(
         [(*c, chance[c]) for c in known_cells if c in chance],
         "mix_source string, mix_lang string, mix_topic string, mix_probability double",
     )
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 52)) / float(1 << 52)
+    drawn_by = F.xxhash64(F.when(F.col("doc_id").isNull(), F.col("mix_text")).otherwise(F.col("doc_id")), F.lit(SEED))
+    draw = F.pmod(drawn_by, F.lit(1 << 52)) / float(1 << 52)
     # as many rows as the targets have cells
     return marked.join(F.broadcast(table), cell).withColumn("mix_kept", draw < F.col("mix_probability")).drop(
-        "mix_source", "mix_lang"
+        "mix_source", "mix_lang", "mix_text"
     )
 
 

@@ -127,6 +127,14 @@ def test_mixing_of_odd_rows(spark):
     assert kept.columns == docs.columns and kept.count() <= 4
 
 
+def test_rows_without_id_are_drawn_one_by_one(spark):
+    rows = [(None, f"word number {i}", "src1", "en") for i in range(400)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"),
+                     spark.createDataFrame([(1, "3")], "topic_id long, topic_value string"))
+    kept = [r.mix_kept for r in got.collect()]
+    assert len(kept) == 400 and 140 < sum(kept) < 260 and set(got.columns) >= {"doc", "mix_topic", "mix_probability"}
+
+
 def test_sharding_query(spark):
     got = QUERIES["op5_sharding"](spark, SF).toPandas()
     docs = spark.read.parquet(f"{SF}/documents.parquet").toPandas().set_index("doc_id")
