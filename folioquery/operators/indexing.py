@@ -1,8 +1,8 @@
 """The report index on disk: lexical rows, vectors and a meta row per report.
 
 Every run appends one batch and never touches earlier ones. Its rows lie in folders by hash
-bucket of the report, and in one file per bucket and FILE_CHUNKS chunks of a report, so that
-a huge report is many files and many tasks. The snapshot, a table of the current batch of
+bucket of the report, in files of at most FILE_CHUNKS chunks that tasks write piece by piece
+of a report, so that a huge report is many files and many tasks. The snapshot, a table of the current batch of
 every indexed report, is published last: a run that dies leaves rows that nobody reads. Who
 asks for some reports reads only their buckets, and in those the row groups of their ids.
 """
@@ -13,6 +13,7 @@ import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.utils import AnalysisException
 
 from folioquery.operators.chunking import missing_chunk_ids
@@ -23,7 +24,7 @@ from folioquery.sources.tables import stage
 
 PARTS = ("lexical", "vectors", "meta")
 BUCKETS = 256
-#: Chunks of one report that share a file.
+#: Chunks of one file, and of one report in one task.
 FILE_CHUNKS = 20_000
 #: Ids of asked reports that are pushed down to the files; more are only joined.
 PUSHED_IDS = 1_000
@@ -86,7 +87,7 @@ def _append(df: DataFrame, path: str, batch: int) -> None:
     order = ["bucket", "_piece", "doc_id", *(["chunk_id"] if "chunk_id" in df.columns else [])]
     rows.repartition("bucket", "_piece").sortWithinPartitions(*order).drop("_piece").write.mode("overwrite").partitionBy(
         "bucket"
-    ).parquet(f"{path}/batch={batch}")
+    ).option("maxRecordsPerFile", FILE_CHUNKS).parquet(f"{path}/batch={batch}")
 
 
 def update_index(
@@ -135,8 +136,11 @@ def update_index(
     )
     for part, df in zip(PARTS, (rows, vectors, meta)):
         _append(df, f"{path}/{part}", batch)
-    written = spark.read.parquet(f"{path}/meta/batch={batch}").select("doc_id", "bucket", F.lit(batch).alias("batch"))
-    write_stage(merge_latest(indexed_reports(spark, path), written, ["doc_id"]), f"{path}/snapshot")
+    # a batch without a single report has no files to infer a schema from
+    shape = StructType([meta.schema["doc_id"], StructField("bucket", IntegerType())])
+    written = spark.read.schema(shape).parquet(f"{path}/meta/batch={batch}").withColumn("batch", F.lit(batch))
+    if not written.isEmpty():
+        write_stage(merge_latest(indexed_reports(spark, path), written, ["doc_id"]), f"{path}/snapshot")
     failed = broken.unionByName(unembedded)
     return skipped.unionByName(written.select("doc_id", F.lit("indexed").alias("status"), none)).unionByName(
         failed.select("doc_id", F.lit("failed").alias("status"), "error")
