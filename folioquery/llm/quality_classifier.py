@@ -10,7 +10,9 @@ additions over whole Arrow batches.
 Labels are learned only from rows outside the held-out fold; id, language, source and
 label are never features. Defined results: a null or empty text has all-zero features and
 gets the score of those bins; repeated rows get equal scores; without usable labels of
-both kinds every score is 0.5. Other columns are ignored.
+both kinds every score is 0.5. Of several labels of one id the lower counts, and of several
+texts of one labelled id the one with the least hash is learned from. Other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -175,10 +177,15 @@ def labelled_sample(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> AdditiveModel:
-    """Train on the documents of ``labels`` (doc_id, quality; bounded by the caller, so it is broadcast)."""
+    """Train on the documents of ``labels`` (doc_id, quality; bounded by the caller, so it is broadcast).
+
+    Of rows that share a labelled id the one whose text has the least hash counts, so no more rows than labels are gathered.
+    """
     got: pd.DataFrame = (
         docs.select("doc_id", "text").join(F.broadcast(labels), "doc_id")
-        .select("doc_id", "quality", feature_column(F.col("text")).alias("x")).orderBy("doc_id").toPandas()
+        .select("doc_id", "quality", feature_column(F.col("text")).alias("x"), F.xxhash64("text").alias("h"))
+        .groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min(F.struct("h", "x"))["x"].alias("x"))
+        .orderBy("doc_id").toPandas()
     )
     x = np.array(got["x"].tolist(), float).reshape(len(got), len(FEATURES))
     return train(x, got["quality"].to_numpy(float))

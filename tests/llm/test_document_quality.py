@@ -44,6 +44,16 @@ def test_tables_add_up():
     assert ((model.score(x) >= 0.5) == y).mean() > 0.9
 
 
+def test_repeated_ids_add_no_training_rows(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i} of words") for i in range(1, 9)] * 2 + [(1, f"other {i}") for i in range(50)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 9)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(C, "train", lambda x, y: seen.append((x.tolist(), y.tolist())))
+    C.fit(docs.repartition(4), labels)
+    C.fit(docs.repartition(2), labels)
+    assert len(seen[0][0]) == 8 and seen[0] == seen[1]
+
+
 def test_classifier_on_odd_rows(spark):
     docs = odd_rows(spark)
     model = C.fit(docs, spark.createDataFrame([(3, 1), (6, 0)], "doc_id long, quality int"))
