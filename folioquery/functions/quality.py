@@ -39,12 +39,12 @@ def verdict(extracted, recognizable, pages, text_pages, threshold: float) -> Col
     )
     reason = F.when(
         recognizable == 0,
-        F.format_string("no recognizable text in the first %d pages", pages),
+        F.format_string("pages 1 to %d hold no letter, number or sign that can be read", pages),
     ).when(
         ratio < threshold,
         F.format_string(
-            "valid character ratio %.1f%% is below %.0f%% (first %d pages, %d/%d characters)",
-            ratio * 100, F.lit(threshold * 100.0), pages, recognizable, extracted,
+            "of %d characters on pages 1 to %d only %d can be read: %.1f%%, and %.0f%% are asked for",
+            extracted, pages, recognizable, ratio * 100, F.lit(threshold * 100.0),
         ),
     )
     return F.struct(

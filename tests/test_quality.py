@@ -1,3 +1,6 @@
+import random
+import unicodedata
+
 import pytest
 
 from folioquery.functions.quality import analyze_page_texts, gate_page_rows
@@ -8,26 +11,41 @@ def analyze(spark, pages, threshold=0.8):
     return analyze_page_texts(df, "pages", threshold).first().quality
 
 
-def test_blank_pages(spark):
-    q = analyze(spark, ["", "\n"])
-    assert (q.passed, q.error_code, q.recognizable_chars) == (False, "NO_RECOGNIZABLE_TEXT", 0)
-    assert (q.average_chars_per_page, q.text_page_ratio) == (0, 0)
-
-
-def test_low_ratio_and_boundary(spark):
-    q = analyze(spark, ["wxy\ufffd\ufffd"])
-    assert q.error_code == "LOW_VALID_CHAR_RATIO" and q.valid_char_ratio == pytest.approx(3 / 5)
-    q = analyze(spark, ["wxyzwxyz\ufffd\x02"])
-    assert q.passed and q.error_code is None and q.valid_char_ratio == 0.8
-
-
-def test_whitespace_and_marks(spark):
-    q = analyze(spark, ["xy 7\t", "", "zz", "w"])
-    assert (q.extracted_chars, q.recognizable_chars, q.valid_char_ratio) == (6, 6, 1.0)
-    assert q.average_chars_per_page == pytest.approx(6 / 4)
-    assert q.text_page_ratio == pytest.approx(3 / 4)
-    q = analyze(spark, ["e\u0301\x1c "])
-    assert (q.extracted_chars, q.recognizable_chars) == (2, 1)
+#: Letters, digits, signs, marks, blanks, controls, private use and the replacement mark.
+ALPHABET = "mNéß漢٣7.,-+€ \t\n\u00a0\u2003\u0301\u0007\u001d\ue123\ufffd"
+
+
+def plainly(pages, threshold):
+    """The measures by their definition, character by character."""
+    blank = [[c for c in t if not c.isspace()] for t in pages]
+    read = [[c for c in t if unicodedata.category(c)[0] in "LNPS" and c != "\ufffd"] for t in blank]
+    e, r = sum(map(len, blank)), sum(map(len, read))
+    code = "NO_RECOGNIZABLE_TEXT" if not r else "LOW_VALID_CHAR_RATIO" if r / e < threshold else None
+    n = len(pages)
+    return (code is None, r / e if e else 0.0, e, r, n, r / n, sum(map(bool, read)) / n, code)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_random_pages_equal_the_definition(spark, seed):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(60):
+        weights = [rng.random() ** 3 for _ in ALPHABET]
+        pages = ["".join(rng.choices(ALPHABET, weights, k=rng.choice([0, 1, 5, 40]))) for _ in range(rng.randint(1, 6))]
+        rows.append((i, pages))
+    df = spark.createDataFrame(rows, "id int, pages array<string>")
+    for r in analyze_page_texts(df, "pages", 0.6).collect():
+        q = r.quality
+        got = (q.passed, q.valid_char_ratio, q.extracted_chars, q.recognizable_chars, q.sample_pages, q.average_chars_per_page,
+               q.text_page_ratio, q.error_code)
+        assert got == pytest.approx(plainly(rows[r.id][1], 0.6)), rows[r.id]
+        assert (q.reason is None) == q.passed
+
+
+@pytest.mark.parametrize("good", range(6))
+def test_a_ratio_at_the_threshold_passes(spark, good):
+    q = analyze(spark, ["k" * good + "\ufffd" * (5 - good)], threshold=0.4)
+    assert q.passed == (good >= 2)
 
 
 def test_rows_agree_with_arrays(spark):

@@ -36,7 +36,8 @@ def test_numeric_conservation(spark):
 
 
 def test_paths_and_snippets(spark):
-    assert one(spark, X.stem, "in/4-LEAF.GREEN_LTD.pdf") == "4-LEAF.GREEN_LTD"
+    for name in ("plain", "two.dots", "a b", ".hidden", "x.y.z"):
+        assert one(spark, X.stem, f"shelf/{name}.pdf") == name
     assert one(spark, X.basename, "in/deep/z.pdf") == "z.pdf"
     assert one(spark, X.snippet, "x\ny") == "x y"
     assert one(spark, lambda c: X.snippet(c, 2), "wxyz") == "wx…"
