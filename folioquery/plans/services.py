@@ -24,7 +24,7 @@ from folioquery.plans.retrieval import HYBRID, hybrid_hits
 from folioquery.plans.structure import document_chunks
 from folioquery.session import ensure_checkpoint_dir
 from folioquery.sources import html
-from folioquery.sources.tables import stage, table
+from folioquery.sources.tables import stage, table, table_stream
 from folioquery.streaming.ingest import attempts, dead_letters, retry_failed, run_ingest
 
 # ---- ingestion ----------------------------------------------------------------------
@@ -76,12 +76,8 @@ def stream_ingest_pages(spark, folder):
     """The same as an incremental stream over the table's files."""
     ensure_checkpoint_dir(spark)
     out = f"{spark.sparkContext.getCheckpointDir()}/ingest-{uuid.uuid4().hex}"
-    schema = spark.read.parquet(f"{folder}/pages.parquet").schema
-    stream = page_files(
-        spark.readStream.schema(schema).option("pathGlobFilter", "pages.parquet").parquet(folder)
-    )
     run_ingest(
-        stream, out, read_html_layout, read_html_pages,
+        page_files(table_stream(spark, folder, "pages")), out, read_html_layout, read_html_pages,
         done=lambda: table(spark, folder, "labels").select("doc_id"),
     )
     return spark.read.parquet(f"{out}/results").select("doc_id", "source", "status")

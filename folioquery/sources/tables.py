@@ -14,6 +14,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The files of a table as a stream, whether the table is one file or a folder of part files.
+
+    The bracket makes the path a pattern: a plain path would have to be a folder.
+    """
+    schema = table(spark, folder, name).schema
+    return spark.readStream.schema(schema).parquet(f"{folder}/[{name[0]}]{name[1:]}.parquet")
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write a stage table to the shared checkpoint folder and read it back.
 
