@@ -5,7 +5,8 @@ against every question: a match ends where a non-word character (or the end)
 follows, so the candidates of a question are the substrings that end there and
 have the length of some key.  A bitmap of the hashes of all keys, of bounded size,
 goes to every task and drops nearly all other substrings before they are joined;
-what it lets through wrongly the join drops.
+what it lets through wrongly the join drops.  The last characters of the keys have
+such a bitmap too, so substrings are cut only where some key can end.
 """
 
 from __future__ import annotations
@@ -21,6 +22,9 @@ BITS_PER_KEY = 32
 MIN_BITS = 1 << 12
 MAX_BITS = 1 << 26
 
+#: So many last characters of a key are looked up first: the largest of these that its length reaches.
+TAILS = (8, 4, 1)
+
 _KEY = "struct<neg_len:int,csv_ord:bigint,key_ord:int,key:string,doc_id:string>"
 
 
@@ -59,41 +63,67 @@ def _bit(low: Column, n_bits: int) -> Column:
     return F.pmod(F.xxhash64(low), F.lit(n_bits))
 
 
-def key_filter(keys: DataFrame) -> tuple[DataFrame, int]:
-    """One row with the bitmap of the folded keys as 64-bit words, and its number of bits."""
+def _tail(length: Column) -> Column:
+    """How many last characters of a key of this length are looked up."""
+    return F.coalesce(*[F.when(length >= n, n) for n in TAILS])
+
+
+def key_filter(hashed: DataFrame, n_keys: int) -> tuple[DataFrame, int]:
+    """One row with the bitmap of the texts ``low`` as 64-bit words, and its number of bits."""
     n_bits = MIN_BITS
-    n_keys = keys.count()
     while n_bits < BITS_PER_KEY * n_keys and n_bits < MAX_BITS:
         n_bits *= 2
-    hashed = keys.select(_bit(_fold(F.col("key")), n_bits).alias("b"))
-    words = hashed.groupBy(F.shiftright("b", 6).alias("word")).agg(
+    words = hashed.select(_bit(F.col("low"), n_bits).alias("b")).groupBy(F.shiftright("b", 6).alias("word")).agg(
         F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("b") % 64).cast("int"))).alias("bits")
     )
-    every = keys.sparkSession.range(n_bits // 64).withColumnRenamed("id", "word").join(words, "word", "left")
+    every = hashed.sparkSession.range(n_bits // 64).withColumnRenamed("id", "word").join(words, "word", "left")
     ordered = F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))))
     return stage(every.agg(F.transform(ordered, lambda w: w["bits"]).alias("bits")), "key-filter"), n_bits
 
 
-def _candidates(open_questions: DataFrame, keys: DataFrame, passing: tuple[DataFrame, int], again: bool) -> DataFrame:
-    """Keys that occur in the remaining text, in consuming order, per question."""
-    lengths = keys.agg(F.array_sort(F.collect_set(F.length("key"))).alias("_lengths")).scalar()
-    bitmap, n_bits = passing
-    text = _fold(F.col("rest"))
-    ends = F.filter(
-        F.sequence(F.lit(1), F.length("rest")),
-        lambda p: (p == F.length("rest")) | F.substring(F.col("rest"), p + 1, 1).rlike(r"(?U)\W"),
+def key_filters(keys: DataFrame) -> tuple[tuple[DataFrame, int], tuple[DataFrame, int], DataFrame]:
+    """Bitmaps of the folded keys and of their tails, and one row with the key lengths of each tail length."""
+    n_keys = keys.count()
+    low = keys.select(_fold(F.col("key")).alias("low"))
+    ends = low.select(F.right("low", _tail(F.length("low"))).alias("low"))
+    lengths = keys.select(F.length("key").alias("n")).groupBy(_tail(F.col("n")).alias("tail")).agg(
+        F.array_sort(F.collect_set("n")).alias("lengths")
     )
-    cut = F.flatten(F.transform("_ends", lambda end: F.transform(
-        F.filter("_lengths", lambda n: n <= end), lambda n: F.substring(F.col("_text"), end - n + 1, n)
-    )))
-    at = _bit(F.col("_low"), n_bits)
+    kinds = stage(lengths.agg(F.array_sort(F.collect_list(F.struct("tail", "lengths"))).alias("kinds")), "key-lengths")
+    return key_filter(low, n_keys), key_filter(ends, n_keys), kinds
+
+
+def _passes(low: Column, passing: tuple[DataFrame, int]) -> Column:
+    bitmap, n_bits = passing
+    at = _bit(low, n_bits)
     word = F.get(bitmap.scalar(), F.shiftright(at, 6).cast("int"))
+    return F.call_function("shiftrightunsigned", word, (at % 64).cast("int")).bitwiseAND(1) == 1
+
+
+def _candidates(
+    open_questions: DataFrame, keys: DataFrame, filters: tuple[tuple[DataFrame, int], tuple[DataFrame, int], DataFrame],
+    again: bool,
+) -> DataFrame:
+    """Keys that occur in the remaining text, in consuming order, per question."""
+    whole, tails, kinds = filters
+    text = _fold(F.col("rest"))
+    # a piece ends where a non-word character or the end follows
+    pieces = F.regexp_extract_all("rest", F.lit(r"(?U)^\w+|\W\w*"), F.lit(0))
+    end = F.length(F.array_join(F.slice("_pieces", F.lit(1), F.col("_piece") + 1), ""))
+    # outer forms of what is never empty: the plain ones would work out their arrays once more for a filter
     spots = (
         open_questions.where(F.length("rest") > 0)
-        .select("question_id", text.alias("_text"), "last", ends.alias("_ends"), lengths.alias("_lengths"))
-        .select("question_id", "last", F.explode(cut).alias("_low"))
+        .select("question_id", text.alias("_text"), "last", pieces.alias("_pieces"))
+        .select("question_id", "last", "_text", "_pieces", F.posexplode_outer("_pieces").alias("_piece", "_"))
+        .select("question_id", "last", "_text", end.alias("_end"))
+        .select("question_id", "last", "_text", "_end", F.inline_outer(kinds.scalar()))
         # in the scan's tasks: hardly anything but keys goes on
-        .where(F.call_function("shiftrightunsigned", word, (at % 64).cast("int")).bitwiseAND(1) == 1)
+        .where(F.col("tail") <= F.col("_end"))
+        .where(_passes(F.substring("_text", F.col("_end") - F.col("tail") + 1, F.col("tail")), tails))
+        .select("question_id", "last", "_text", "_end", F.explode_outer("lengths").alias("_n"))
+        .where(F.col("_n") <= F.col("_end"))
+        .select("question_id", "last", F.substring("_text", F.col("_end") - F.col("_n") + 1, F.col("_n")).alias("_low"))
+        .where(_passes(F.col("_low"), whole))
         .groupBy("question_id", "last", "_low").agg(F.count(F.lit(1)).alias("_times"))
     )
     same_key = Window.partitionBy("_low").orderBy("csv_ord", "key_ord")
@@ -129,8 +159,13 @@ def _consume(rest: Column, hits: Column, keys: Column, irregular: Column) -> Col
     state_type = f"struct<rest:string,hits:array<string>,stopped:boolean,last:{_KEY}>"
 
     def visit(s: Column, k: Column) -> Column:
-        at = F.regexp_instr(s["rest"], _pattern(k["key"]))
-        found = F.regexp_substr(s["rest"], _pattern(k["key"]))
+        # one-element arrays make the pattern and its match lambda variables: each is worked out once per key
+        match = F.transform(F.array(_pattern(k["key"])), lambda pattern: F.struct(
+            F.regexp_instr(s["rest"], pattern).alias("at"), F.regexp_substr(s["rest"], pattern).alias("found")
+        ))
+        return F.when(s["stopped"], s).otherwise(F.transform(match, lambda m: take(s, k, m["at"], m["found"]))[0])
+
+    def take(s: Column, k: Column, at: Column, found: Column) -> Column:
         before = F.substring(s["rest"], F.lit(1), at - 1)
         glued = (at > 1) & ~F.substring(s["rest"], at - 1, F.lit(1)).rlike(f"[{WHITESPACE_CLASS}]")
         consumed = F.struct(
@@ -140,7 +175,7 @@ def _consume(rest: Column, hits: Column, keys: Column, irregular: Column) -> Col
             (glued | irregular).alias("stopped"),
             k.alias("last"),
         ).cast(state_type)
-        return F.when(s["stopped"] | (at == 0), s).otherwise(consumed)
+        return F.when(at == 0, s).otherwise(consumed)
 
     initial = F.struct(
         rest.alias("rest"), hits.alias("hits"), F.lit(False).alias("stopped"),
@@ -167,11 +202,11 @@ def route_questions(questions: DataFrame, keys: DataFrame) -> DataFrame:
         F.array().cast("array<string>").alias("hits"), F.lit(None).cast(_KEY).alias("last"),
     ).repartition("question_id")  # as the join below asks for: the substrings are then cut in many tasks
     done: DataFrame | None = None
-    passing = key_filter(keys)
+    filters = key_filters(keys)
     while True:
         folded = stage(
             current.join(
-                _candidates(current, keys, passing, again=done is not None), "question_id", "left"
+                _candidates(current, keys, filters, again=done is not None), "question_id", "left"
             )
             .withColumns({
                 "keys": F.coalesce("keys", F.array().cast(f"array<{_KEY}>")),
