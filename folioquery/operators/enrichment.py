@@ -14,6 +14,7 @@ from folioquery.functions.text import (
 from folioquery.operators import models
 from folioquery.operators.context import adjacent_prose, picture_context, table_context
 from folioquery.operators.elements import is_large_table
+from folioquery.operators.slices import frame_slices
 from folioquery.operators.vectors import embedding_batches, l2_normalize
 from folioquery.sources import stages
 from folioquery.sources.tables import stage
@@ -267,7 +268,7 @@ def embed_chunks(
         return [None] * len(texts), problem
 
     def embed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
+        for pdf in frame_slices(frames, ["texts"]):
             got = [vectors_of(list(t)) for t in pdf["texts"]]
             yield pdf[["doc_id", "ids"]].assign(
                 vectors=[v for v, _ in got], error=[e for _, e in got]

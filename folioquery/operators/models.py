@@ -23,6 +23,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioquery.operators.slices import frame_slices
 from folioquery.sources.stages import read_stage, write_stage
 from folioquery.sources.tables import stage
 
@@ -215,7 +216,7 @@ def _asked(
                 "tokens_in": used_in, "tokens_out": used_out}
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in frame_slices(batches, names):
             asked = [
                 {n: v.tolist() if hasattr(v, "tolist") else v for n, v in row.items()}
                 for row in pdf[names].to_dict("records")
