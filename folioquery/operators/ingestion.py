@@ -12,6 +12,7 @@ from folioquery.functions.quality import (
     DEFAULT_SAMPLE_PAGES, DEFAULT_THRESHOLD, analyze_page_texts, check_options,
 )
 from folioquery.operators.elements import ENTRY, attach_company
+from folioquery.operators.slices import frame_slices
 from folioquery.sources.tables import stage
 
 REJECTION = "the text layer of the document is missing or damaged"
@@ -47,7 +48,7 @@ def sample_pages(files: DataFrame, reader: PageReader, n: int = DEFAULT_SAMPLE_P
         return (pages[:n], None, None) if pages else (None, "PDF_NO_PAGES", "no pages")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in frame_slices(batches, ["content"]):
             got = [one(c) for c in pdf["content"]]
             yield pdf.assign(
                 pages=[g[0] for g in got], read_error=[g[1] for g in got],
@@ -70,7 +71,7 @@ def parse_layout(files: DataFrame, reader: LayoutReader) -> DataFrame:
             return None, str(e)
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in frame_slices(batches, ["content"]):
             got = [one(c) for c in pdf["content"]]
             yield pdf.drop(columns="content").assign(
                 entries=[g[0] for g in got], parse_error=[g[1] for g in got]
