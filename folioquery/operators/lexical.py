@@ -8,24 +8,25 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioquery.functions.text import lexical_tokens
-from folioquery.operators.blocks import SCORE_DIGITS, blocked_topk, of_routes, with_route_facts
+from folioquery.operators.blocks import (
+    CHUNKS_PER_BLOCK, QUESTIONS_PER_BLOCK, SCORE_DIGITS, blocked_topk, of_routes, top_of_block, with_route_facts,
+)
 from folioquery.sources.tables import stage
 
 K1 = 1.5
 B = 0.75
 EPSILON = 0.25
 
-#: Rarest terms of a question are summed first until their postings are so many times k.
+POSTINGS_PER_BLOCK = 2_000_000
+#: Of the pruning by a floor that sums within blocks replaced. No longer read; a test sets them.
 SEED_POSTINGS = 4
-#: Terms stay idle whose best weights together are below this share of the floor: at 1 the fewest postings are read,
-#: below it fewer chunks stay in reach of the floor.
 IDLE_SHARE = 0.5
-#: Sums are compared with this room, more than what rounding to SCORE_DIGITS can move.
-MARGIN = 2e-6
 SLICES = 256
 
 
@@ -114,111 +115,136 @@ def _used_terms(index: DataFrame, asked: DataFrame) -> DataFrame:
     )
 
 
-def _postings(index: DataFrame, used: DataFrame) -> DataFrame:
-    """(route, chunk_id, term_id, w): the postings of the terms that are asked for."""
+def _postings(index: DataFrame, used: DataFrame, *more: str) -> DataFrame:
+    """(route, chunk_id, term_id, w): the postings of the terms that are asked for, with more columns of ``used``."""
     tf, dl = F.col("p.tf"), F.col("dl")
     weight = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))
     return (
         index.select("route", "chunk_id", "dl", F.explode("postings").alias("p")).withColumn("term", F.col("p.term"))
-        .join(used, ["route", "term"]).select("route", "chunk_id", "term_id", weight.alias("w"))
+        .join(used, ["route", "term"]).select("route", "chunk_id", "term_id", weight.alias("w"), *more)
     )
 
 
-def _sums(postings: DataFrame, terms: DataFrame) -> DataFrame:
-    """(route, question_id, chunk_id, s): what the given terms of each question add to a chunk."""
-    met = postings.drop("route").join(terms, "term_id")
-    return met.groupBy("route", "question_id", "chunk_id").agg(F.sum(F.col("w") * F.col("times")).alias("s"))
+def _block_counts(index: DataFrame, questions: DataFrame) -> DataFrame:
+    """(route, _ncb, _nqb): into how many blocks the chunks and the questions of a route are dealt.
 
-
-def _best(sums: DataFrame, n: int) -> DataFrame:
-    """The n best sums of each question, numbered."""
-    order = Window.partitionBy("route", "question_id").orderBy(F.desc("s"), "chunk_id")
-    return sums.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n)
-
-
-def _completed(pairs: DataFrame, terms: DataFrame, postings: DataFrame) -> DataFrame:
-    """What the given terms of each question add to the chunks of ``pairs``, as rows to be summed."""
-    keys = ["route", "question_id"]
-    return pairs.select(*keys, "chunk_id").join(terms.select(*keys, "term_id", "times"), keys).join(
-        postings, ["route", "chunk_id", "term_id"]
-    ).select(*keys, "chunk_id", (F.col("w") * F.col("times")).alias("s"))
-
-
-def _sparse_topk(asked: DataFrame, used: DataFrame, postings: DataFrame, k: int) -> DataFrame:
-    """(route, question_id, chunk_id, score) of every chunk that may be among the k best of a question.
-
-    All matched chunks of a question with fewer than k of them are there. No weight is
-    negative here. Chunks that match the rarest terms of a question best are scored in full;
-    the k-th best of them is a floor. Terms whose best weights together stay below it cannot
-    bring in a chunk by themselves. Their postings are looked up only for chunks that other
-    terms bring in and that could still reach the floor with them.
+    The length of a chunk bounds its postings, so blocks of long chunks hold fewer of them.
+    """
+    chunks = index.groupBy("route").agg(F.greatest(
+        F.ceil(F.count(F.lit(1)) / CHUNKS_PER_BLOCK), F.ceil(F.coalesce(F.sum("dl"), F.lit(0)) / POSTINGS_PER_BLOCK)
+    ).alias("_ncb"))
+    asked = questions.groupBy("route").agg(F.ceil(F.count(F.lit(1)) / QUESTIONS_PER_BLOCK).alias("_nqb"))
+    return chunks.join(asked, "route")
+
+
+def _dealt(key: str, blocks: str) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(blocks)), F.col(blocks)).cast("int")
+
+
+def _block_best(k: int):
+    """Sums the postings of a block for each of its questions; the k best chunks above 0 are given."""
+
+    def best(postings: pa.Table, asked: pa.Table) -> pa.Table:
+        names = ["route", "question_id", "chunk_id", "score"]
+        if not postings.num_rows or not asked.num_rows:
+            return pa.table([asked["route"][:0], asked["question_id"][:0], postings["chunk_id"][:0], pa.array([], "double")], names)
+        coded = pa.concat_arrays(postings["chunk_id"].chunks).dictionary_encode("encode")
+        ids = coded.dictionary
+        nth = np.empty(len(ids), dtype="int64")
+        nth[pc.array_sort_indices(ids, null_placement="at_start").to_numpy()] = np.arange(len(ids))
+        terms, at, weights = (
+            postings["term_id"].to_numpy(), coded.indices.to_numpy(), postings["w"].to_numpy()
+        )
+        order = np.argsort(terms, kind="stable")
+        terms, at, weights = terms[order], at[order], weights[order]
+        rows, cols, found = [], [], []
+        for i, wanted in enumerate(asked["terms"].to_pylist()):
+            numbers = np.array([t["term_id"] for t in wanted], dtype="int64")
+            spans = zip(np.searchsorted(terms, numbers, "left"), np.searchsorted(terms, numbers, "right"), wanted)
+            met = [(at[a:b], weights[a:b] * t["times"]) for a, b, t in spans]
+            sums = np.bincount(np.concatenate([m[0] for m in met]), np.concatenate([m[1] for m in met]), len(ids))
+            line = np.round(sums, SCORE_DIGITS)
+            scoring = np.flatnonzero(line > 0)
+            _, top = top_of_block(line[scoring][None], nth[scoring], k)
+            rows.append(np.full(len(top), i))
+            cols.append(scoring[top])
+            found.append(line[cols[-1]])
+        rows, cols = np.concatenate(rows), np.concatenate(cols)
+        found_by = asked.select(["route", "question_id"]).take(pa.array(rows))
+        return pa.table([*found_by.columns, ids.take(pa.array(cols)), np.concatenate(found)], names)
+
+    return best
+
+
+def _sparse_topk(index: DataFrame, asked: DataFrame, used: DataFrame, k: int) -> DataFrame:
+    """(route, question_id, chunk_id, score, rank): the k best of the chunks that score above 0, for each question.
+
+    No weight is negative here. Chunks and questions of a route are dealt into blocks, and a
+    posting goes once to every block of questions of which one asks for its term. All
+    postings of a chunk meet in its block, where they are summed; of a block only the k best
+    chunks of a question leave. So no row is made for a question and a posting, nor for a
+    question and a chunk.
     """
     keys = ["route", "question_id"]
-    best = postings.groupBy("term_id").agg(F.max("w").alias("ub"))
-    rarest = Window.partitionBy(*keys).orderBy("df", "term_id").rowsBetween(Window.unboundedPreceding, -1)
+    asked = asked.where(F.col("question_id").isNotNull())
+    counts = stage(_block_counts(index, asked.select(*keys).distinct()), "blocks")
     terms = stage(
-        asked.join(used.select("route", "term", "term_id", "df"), ["route", "term"]).join(best, "term_id")
-        .select(*keys, "term_id", "times", "df", (F.col("ub") * F.col("times")).alias("most"))
-        .withColumn("seed", F.coalesce(F.sum("df").over(rarest), F.lit(0)) < SEED_POSTINGS * k),
+        with_route_facts(asked.join(used.select("route", "term", "term_id"), ["route", "term"]), counts, "term")
+        .withColumn("_qb", _dealt("question_id", "_nqb")),
         "question-terms",
     )
-    seeds = _best(_sums(postings, terms.where("seed").select(*keys, "term_id", "times")), 2 * k)
-    full = _completed(seeds, terms, postings).groupBy(*keys, "chunk_id").agg(F.sum("s").alias("s"))
-    floor = _best(full, k).where(F.col("_n") == k).select(*keys, F.col("s").alias("floor"))
-    weakest = Window.partitionBy(*keys).orderBy("most", "term_id").rowsBetween(Window.unboundedPreceding, 0)
-    split = stage(
-        terms.join(floor, keys, "left")
-        .withColumn("idle", F.coalesce(F.sum("most").over(weakest) < IDLE_SHARE * F.col("floor"), F.lit(False))),
-        "split-terms",
+    wanted = stage(
+        terms.select("route", "term", "_qb", "_ncb").distinct().join(used, ["route", "term"]), "block-terms"
     )
-    rest = split.groupBy(*keys).agg(
-        F.sum(F.when(F.col("idle"), F.col("most")).otherwise(0.0)).alias("rest"), F.max("floor").alias("floor"),
-        F.collect_list(F.when(F.col("idle"), F.struct("term_id", "times"))).alias("idle"),
+    block = ["_cb", "_qb", "route"]
+    postings = _postings(index, wanted, "_qb", "_ncb").withColumn("_cb", _dealt("chunk_id", "_ncb")).select(
+        *block, "chunk_id", "term_id", "w"
     )
-    # without k full scores there is no floor and every matched chunk is scored
-    hopeful = _sums(postings, split.where("not idle").select(*keys, "term_id", "times")).join(rest, keys).where(
-        F.col("s") + F.col("rest") >= F.coalesce("floor", F.lit(float("-inf"))) - MARGIN
+    questions = terms.groupBy("route", "_qb", "_ncb", "question_id").agg(
+        F.collect_list(F.struct("term_id", "times")).alias("terms")
+    ).withColumn("_cb", F.explode(F.sequence(F.lit(0), F.col("_ncb").cast("int") - 1))).select(
+        *block, "question_id", "terms"
     )
-    late = hopeful.select(*keys, "chunk_id", "s", F.inline_outer("idle")).join(postings, ["route", "chunk_id", "term_id"], "left")
-    return late.groupBy(*keys, "chunk_id").agg(
-        (F.round(F.first("s") + F.sum(F.coalesce(F.col("w") * F.col("times"), F.lit(0.0))), SCORE_DIGITS) + 0.0).alias("score")
+    types = {name: index.schema["chunk_id"].dataType if name == "chunk_id" else asked.schema[name].dataType
+             for name in (*keys, "chunk_id")}
+    parts = postings.groupBy(*block).cogroup(questions.groupBy(*block)).applyInArrow(
+        _block_best(k),
+        ", ".join(f"{name} {kind.simpleString()}" for name, kind in types.items()) + ", score double",
     )
+    order = Window.partitionBy(*keys).orderBy(F.desc("score"), "chunk_id")
+    return parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def bm25_topk(index: DataFrame, questions: DataFrame, k: int = 30, **blocks) -> DataFrame:
     """Best k chunks per (question, route); chunks that match nothing score 0 and stay eligible.
 
-    Only postings of asked terms are read; see ``_sparse_topk`` for what is pruned. A question
-    with fewer than k matches is filled up with the smallest ids among the other chunks of
-    its route: those are among the route's k smallest. Two kinds of questions are scored
-    against every chunk instead (``_dense_topk``): those of a route with negative weights,
-    and those with k matches of which fewer than k score above 0.
+    Only postings of asked terms are read and summed, see ``_sparse_topk``. A question of
+    which fewer than k chunks score above 0 is filled up with the smallest ids among the other
+    chunks of its route: those are among the route's k smallest. Questions of a route with
+    negative weights are scored against every chunk instead (``_dense_topk``).
     """
     keys = ["route", "question_id"]
     asked = _asked_terms(questions)
     used = _used_terms(index, asked)
     negative = used.where("idf < 0").select("route").distinct()
-    postings = stage(_postings(index, used), "asked-postings")
     everyone = questions.select(*keys).distinct()
     order = Window.partitionBy(*keys).orderBy(F.desc("score"), "chunk_id")
-    scores = _sparse_topk(of_routes(asked, negative, "term", "left_anti"), used, postings, k)
-    top = stage(scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "sparse-topk")
-    # with fewer than k matches all of them are here
-    matches = top.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("score") > 0).alias("scoring"))
-    counts = of_routes(everyone, negative, "question_id", "left_anti").join(matches, keys, "left").na.fill(0, ["n", "scoring"])
+    top = stage(_sparse_topk(index, of_routes(asked, negative, "term", "left_anti"), used, k), "sparse-topk")
+    matches = top.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    counts = of_routes(everyone, negative, "question_id", "left_anti").join(matches, keys, "left").na.fill(0, ["n"])
     fill = with_route_facts(counts.where(F.col("n") < k).select(*keys), _smallest_ids(index, k), "question_id").join(
         top.select(*keys, "chunk_id"), [*keys, "chunk_id"], "left_anti"
     ).withColumn("score", F.lit(0.0))
-    tied = counts.where((F.col("n") >= k) & (F.col("scoring") < k)).select(*keys)
     hits = (
-        top.drop("rank").join(tied, keys, "left_anti").unionByName(fill)
+        top.drop("rank").unionByName(fill)
         .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         .select("question_id", "route", "chunk_id", "score", "rank")
     )
-    dense = stage(of_routes(everyone, negative, "question_id", "left_semi").unionByName(tied), "dense-questions")
+    dense = stage(of_routes(everyone, negative, "question_id", "left_semi"), "dense-questions")
     if dense.isEmpty():
         return hits
-    return hits.unionByName(_dense_topk(index, questions.join(dense, keys, "left_semi"), used, postings, k, **blocks))
+    asked_densely = questions.join(dense, keys, "left_semi")
+    return hits.unionByName(_dense_topk(index, asked_densely, used, _postings(index, used), k, **blocks))
 
 
 def _smallest_ids(index: DataFrame, k: int) -> DataFrame:

@@ -1,6 +1,7 @@
 """The sparse search against the ranking function over every chunk, and its plan."""
 
 import random
+import re
 
 import pytest
 from test_retrieval import bm25
@@ -60,3 +61,23 @@ def test_plan_has_no_row_for_a_chunk_without_a_match(spark):
     hits = lexical.bm25_topk(index, spark.createDataFrame([("a", 0, "w1 w2")], "route string, question_id int, text string"), 3)
     plan = hits._jdf.queryExecution().executedPlan().toString()
     assert "MapGroups" not in plan and "CoGroup" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_postings_are_summed_in_blocks(spark, monkeypatch):
+    """Many small blocks of chunks and questions give the best of all; nothing is dealt out by question and chunk."""
+    monkeypatch.setattr(lexical, "CHUNKS_PER_BLOCK", 9)
+    monkeypatch.setattr(lexical, "QUESTIONS_PER_BLOCK", 3)
+    plans, stage = {}, lexical.stage
+
+    def seen(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return stage(df, name)
+
+    monkeypatch.setattr(lexical, "stage", seen)
+    rng = random.Random(7)
+    chunks = [("a", i, zipf(rng, rng.randint(0, 12))) for i in range(150)] + [("b", i, "w1 x") for i in range(5)]
+    chunks += [("a", 150, "lonely")]
+    asks = [("a", q, chunks[q * 11][2] + " w2 w2") for q in range(10)] + [("a", 90, "lonely"), ("a", 91, "w0"), ("b", 0, "x y")]
+    got, _ = search(spark, chunks, asks, 6)
+    right(got, chunks, asks, 6)
+    assert not re.search(r"partitioning\([^)]*question_id#\d+, chunk_id#", plans["sparse-topk"])
