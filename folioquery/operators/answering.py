@@ -17,7 +17,7 @@ from folioquery.functions.text import token_truncate, truthy
 from folioquery.operators import fusion, lexical, models, parents, rerank, vectors
 from folioquery.operators.enrichment import embed_texts
 from folioquery.operators.routing import dispatch
-from folioquery.sources.tables import stage
+from folioquery.sources.tables import shuffled, stage
 
 RERANK_TOKEN_CAP = 1500
 ANSWER_COLUMNS = (
@@ -114,7 +114,7 @@ def rank_candidates(
         "task_id", "rank", F.coalesce("r.relevance_score", F.lit(0.0)).alias("relevance_score"),
         F.coalesce("r.reasoning", F.lit("no rating")).alias("reasoning"),
     )
-    return rerank.combine_rankings(candidates.join(scores, ["task_id", "rank"]), ["task_id"], top_n=top_n)
+    return rerank.combine_rankings(candidates.join(shuffled(scores), ["task_id", "rank"]), ["task_id"], top_n=top_n)
 
 
 def answer_tasks(
@@ -132,7 +132,8 @@ def answer_tasks(
     )
     # A question without a vector is answered by its error; it is neither searched nor asked.
     tasks = tasks.join(
-        embedded.select(F.col("question_id").alias("task_id"), F.col("embedding_error").alias("_no_vector")), "task_id", "left"
+        shuffled(embedded.select(F.col("question_id").alias("task_id"), F.col("embedding_error").alias("_no_vector"))),
+        "task_id", "left",
     )
     # Only the reports that were asked about are read further.
     asked_docs = tasks.select("doc_id").distinct()
@@ -151,9 +152,9 @@ def answer_tasks(
     vector_hits = vectors.cosine_topk(chunk_vectors, asked, options.k)
     fused = fusion.fuse_hits(vector_hits, lexical_hits, options.vector_weight, options.candidates)
     candidates = (
-        fused.join(corpus, ["route", "chunk_id"])
+        fused.join(shuffled(corpus), ["route", "chunk_id"])
         .withColumnsRenamed({"question_id": "task_id", "route": "doc_id"})
-        .join(tasks.select("task_id", "question"), "task_id")
+        .join(shuffled(tasks.select("task_id", "question")), "task_id")
     )
     ranked = rank_candidates(candidates, with_models.ranker, options.top_n)
     evidence = ranked.groupBy("task_id").agg(
@@ -176,7 +177,7 @@ def answer_tasks(
         lambda p, t: F.concat(F.lit("Page "), p.cast("string"), F.lit(':\n"""\n'), t, F.lit('\n"""')),
     )
     ready = (
-        tasks.join(contexts, "task_id", "left").join(evidence, "task_id", "left")
+        tasks.join(shuffled(contexts), "task_id", "left").join(shuffled(evidence), "task_id", "left")
         .withColumns({
             "pages": F.coalesce("pages", F.array().cast("array<int>")),
             "contexts": F.coalesce("contexts", F.array().cast("array<string>")),
@@ -240,8 +241,8 @@ def answer_questions(
     done = stage(done, "answers")
 
     nothing = F.lit(None).cast("map<string,string>")
-    one = done.join(single.select("question_id"), "question_id", "left_semi").join(
-        questions.select("question_id", "doc_ids"), "question_id"
+    one = done.join(shuffled(single.select("question_id")), "question_id", "left_semi").join(
+        shuffled(questions.select("question_id", "doc_ids")), "question_id"
     ).withColumn("sub_answers", nothing)
 
     parts = F.array_sort(F.collect_list(F.struct(
@@ -249,8 +250,8 @@ def answer_questions(
         "contexts", "error",
     )))
     gathered = done.join(
-        comparative.select("question_id", F.col("question").alias("_q"), F.col("kind").alias("_k"),
-                           "doc_ids"),
+        shuffled(comparative.select("question_id", F.col("question").alias("_q"), F.col("kind").alias("_k"),
+                                    "doc_ids")),
         "question_id",
     ).groupBy("question_id", "_q", "_k", "doc_ids").agg(parts.alias("p"))
     brief = F.map_from_entries(F.transform("p", lambda a: F.struct(
@@ -269,7 +270,7 @@ def answer_questions(
         with_models.combiner, ["question", "sub_answers"], models.check_object, retries=1, skip="_refused",
     ).select("question_id", "outcome")
     reply = F.col("outcome.reply")
-    many = gathered.join(combined, "question_id").select(
+    many = gathered.join(shuffled(combined), "question_id").select(
         "question_id", F.col("_q").alias("question"), F.col("_k").alias("kind"), "doc_ids",
         F.coalesce(F.get_json_object(reply, "$.final_answer"), F.lit("N/A")).alias("final_answer"),
         F.coalesce(F.get_json_object(reply, "$.reasoning_summary"), F.lit(""))

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioquery.sources.tables import shuffled
+
 CHUNKS_PER_BLOCK = 2_000
 QUESTIONS_PER_BLOCK = 256
 SCORE_DIGITS = 6  # ranks use rounded scores, so summation order cannot flip ties
@@ -29,7 +31,7 @@ def with_route_facts(rows: DataFrame, facts: DataFrame, spread_by: str) -> DataF
     """Join one row per route to the many rows of it; rows without one go."""
     copies = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salt = F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int")
-    return rows.withColumn("_salt", salt).join(copies, ["route", "_salt"]).drop("_salt")
+    return rows.withColumn("_salt", salt).join(shuffled(copies), ["route", "_salt"]).drop("_salt")
 
 
 def of_routes(rows: DataFrame, routes: DataFrame, spread_by: str, how: str) -> DataFrame:

@@ -17,7 +17,7 @@ from folioquery.operators.elements import is_large_table
 from folioquery.operators.slices import frame_slices
 from folioquery.operators.vectors import embedding_batches, l2_normalize
 from folioquery.sources import stages
-from folioquery.sources.tables import stage
+from folioquery.sources.tables import shuffled, stage
 
 SERIALIZED = (
     "struct<subject_core_entities_list:array<string>,relevant_headers_list:array<string>,"
@@ -245,7 +245,7 @@ def embed_chunks(
     )
     starts = embedding_batches(capped, batch_size=batch_size, budget=budget)
     batches = (
-        capped.drop("length_tokens").join(starts, ["doc_id", "chunk_id"])
+        capped.drop("length_tokens").join(shuffled(starts), ["doc_id", "chunk_id"])
         .groupBy("doc_id", "batch_start")
         .agg(F.array_sort(F.collect_list(F.struct("chunk_id", "_text"))).alias("rows"))
         .select(

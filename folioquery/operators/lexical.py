@@ -17,7 +17,7 @@ from folioquery.functions.text import lexical_tokens
 from folioquery.operators.blocks import (
     CHUNKS_PER_BLOCK, QUESTIONS_PER_BLOCK, SCORE_DIGITS, blocked_topk, of_routes, top_of_block, with_route_facts,
 )
-from folioquery.sources.tables import stage
+from folioquery.sources.tables import shuffled, stage
 
 K1 = 1.5
 B = 0.75
@@ -105,7 +105,7 @@ def _used_terms(index: DataFrame, asked: DataFrame) -> DataFrame:
     """Numbered terms that some question of their route asks for, with df, idf after replacement, and avgdl."""
     vocabulary = stage(term_stats(index), "terms")
     stats = corpus_stats(index, vocabulary).select("route", "avgdl", "mean_idf")
-    wanted = vocabulary.join(asked.select("route", "term").distinct(), ["route", "term"])
+    wanted = vocabulary.join(shuffled(asked.select("route", "term").distinct()), ["route", "term"])
     return stage(
         with_route_facts(wanted, stats, "term").select(
             "route", "term", "avgdl", "df", F.monotonically_increasing_id().alias("term_id"),
@@ -121,7 +121,7 @@ def _postings(index: DataFrame, used: DataFrame, *more: str) -> DataFrame:
     weight = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))
     return (
         index.select("route", "chunk_id", "dl", F.explode("postings").alias("p")).withColumn("term", F.col("p.term"))
-        .join(used, ["route", "term"]).select("route", "chunk_id", "term_id", weight.alias("w"), *more)
+        .join(shuffled(used), ["route", "term"]).select("route", "chunk_id", "term_id", weight.alias("w"), *more)
     )
 
 
@@ -189,12 +189,12 @@ def _sparse_topk(index: DataFrame, asked: DataFrame, used: DataFrame, k: int) ->
     asked = asked.where(F.col("question_id").isNotNull())
     counts = stage(_block_counts(index, asked.select(*keys).distinct()), "blocks")
     terms = stage(
-        with_route_facts(asked.join(used.select("route", "term", "term_id"), ["route", "term"]), counts, "term")
+        with_route_facts(asked.join(shuffled(used.select("route", "term", "term_id")), ["route", "term"]), counts, "term")
         .withColumn("_qb", _dealt("question_id", "_nqb")),
         "question-terms",
     )
     wanted = stage(
-        terms.select("route", "term", "_qb", "_ncb").distinct().join(used, ["route", "term"]), "block-terms"
+        terms.select("route", "term", "_qb", "_ncb").distinct().join(shuffled(used), ["route", "term"]), "block-terms"
     )
     block = ["_cb", "_qb", "route"]
     postings = _postings(index, wanted, "_qb", "_ncb").withColumn("_cb", _dealt("chunk_id", "_ncb")).select(
@@ -231,9 +231,9 @@ def bm25_topk(index: DataFrame, questions: DataFrame, k: int = 30, **blocks) ->
     order = Window.partitionBy(*keys).orderBy(F.desc("score"), "chunk_id")
     top = stage(_sparse_topk(index, of_routes(asked, negative, "term", "left_anti"), used, k), "sparse-topk")
     matches = top.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    counts = of_routes(everyone, negative, "question_id", "left_anti").join(matches, keys, "left").na.fill(0, ["n"])
+    counts = of_routes(everyone, negative, "question_id", "left_anti").join(shuffled(matches), keys, "left").na.fill(0, ["n"])
     fill = with_route_facts(counts.where(F.col("n") < k).select(*keys), _smallest_ids(index, k), "question_id").join(
-        top.select(*keys, "chunk_id"), [*keys, "chunk_id"], "left_anti"
+        shuffled(top.select(*keys, "chunk_id")), [*keys, "chunk_id"], "left_anti"
     ).withColumn("score", F.lit(0.0))
     hits = (
         top.drop("rank").unionByName(fill)
@@ -243,7 +243,7 @@ def bm25_topk(index: DataFrame, questions: DataFrame, k: int = 30, **blocks) ->
     dense = stage(of_routes(everyone, negative, "question_id", "left_semi"), "dense-questions")
     if dense.isEmpty():
         return hits
-    asked_densely = questions.join(dense, keys, "left_semi")
+    asked_densely = questions.join(shuffled(dense), keys, "left_semi")
     return hits.unionByName(_dense_topk(index, asked_densely, used, _postings(index, used), k, **blocks))
 
 
@@ -262,16 +262,16 @@ def _smallest_ids(index: DataFrame, k: int) -> DataFrame:
 def _dense_topk(index: DataFrame, questions: DataFrame, used: DataFrame, postings: DataFrame, k: int, **blocks) -> DataFrame:
     """Every chunk of a route against every question of it, block by block."""
     matched = postings.groupBy("route", "chunk_id").agg(F.collect_list(F.struct("term_id", "w")).alias("m"))
-    chunks = index.select("route", "chunk_id").join(matched, ["route", "chunk_id"], "left").select(
+    chunks = index.select("route", "chunk_id").join(shuffled(matched), ["route", "chunk_id"], "left").select(
         "route", "chunk_id",
         F.coalesce("m.term_id", F.array().cast("array<bigint>")).alias("terms"),
         F.coalesce("m.w", F.array().cast("array<double>")).alias("weights"),
     )
     tokens = questions.select("route", "question_id", F.explode(lexical_tokens(F.col("text"))).alias("term"))
-    numbered = tokens.join(used.select("route", "term", "term_id"), ["route", "term"]).groupBy(
+    numbered = tokens.join(shuffled(used.select("route", "term", "term_id")), ["route", "term"]).groupBy(
         "route", "question_id"
     ).agg(F.array_sort(F.collect_list("term_id")).alias("terms"))
     wanted = questions.select("route", "question_id").join(
-        numbered, ["route", "question_id"], "left"
+        shuffled(numbered), ["route", "question_id"], "left"
     ).withColumn("terms", F.coalesce("terms", F.array().cast("array<bigint>")))
     return blocked_topk(chunks, wanted, _score, k, counted=index, **blocks)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from folioquery.functions.text import heading_markdown, normalize_text, truthy
 from folioquery.operators.ordered import SEGMENT, running_sums, segment_of
-from folioquery.sources.tables import stage
+from folioquery.sources.tables import shuffled, stage
 
 MAX_CONTEXT_CHARS = 60_000
 METRIC_CONTEXT_CHARS = 16_000
@@ -29,7 +29,7 @@ def parent_pages(candidates: DataFrame, pages: DataFrame, keys: Sequence[str]) -
     # entries without a page form one page of their own
     return (
         first.withColumn("page_rank", F.row_number().over(order))
-        .join(texts, (F.col("doc_id") == F.col("_doc")) & F.col("page").eqNullSafe(F.col("_page")))
+        .join(shuffled(texts), (F.col("doc_id") == F.col("_doc")) & F.col("page").eqNullSafe(F.col("_page")))
         .select(*group, "page", "page_rank", "text")
     )
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioquery.functions.text import WHITESPACE_CLASS, stem, truthy
-from folioquery.sources.tables import stage
+from folioquery.sources.tables import shuffled, stage
 
 #: Bits of the key filter: so many to a key, between the bounds. A filter that is too small only lets more through.
 BITS_PER_KEY = 32
@@ -226,7 +226,7 @@ def route_questions(questions: DataFrame, keys: DataFrame) -> DataFrame:
         if current.isEmpty():
             break
     routes = done.select("question_id", F.array_distinct("hits").alias("doc_ids"))
-    return questions.join(routes, "question_id")
+    return questions.join(shuffled(routes), "question_id")
 
 
 def dispatch(doc_ids: Column) -> Column:

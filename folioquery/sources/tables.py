@@ -23,6 +23,15 @@ def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{folder}/[{name[0]}]{name[1:]}.parquet")
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """A side of a join of two tables that both grow with the input: the join shuffles them, whatever their files weigh.
+
+    Left to itself Spark sends a side to the driver and to every task if its files are small. Stage
+    tables repeat themselves and are small as files, with millions of rows.
+    """
+    return df.hint("merge")
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write a stage table to the shared checkpoint folder and read it back.
 
