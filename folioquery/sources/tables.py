@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,14 +33,15 @@ def shuffled(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
     """Write a stage table to the shared checkpoint folder and read it back.
 
     Used where several later steps read one costly result: they then read only the
-    columns they need, and a lost executor does not recompute the stage.
+    columns they need, and a lost executor does not recompute the stage. With ``by`` rows lie in
+    folders by these columns, and a read of some values opens their folders only.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/stage-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -11,6 +11,7 @@ from pyspark.sql.utils import AnalysisException
 
 from folioquery.functions.text import stem
 from folioquery.operators.ingestion import LayoutReader, PageReader, ingest
+from folioquery.operators.ordered import ordinal
 from folioquery.sources.tables import stage
 
 
@@ -100,26 +101,50 @@ def dead_letters(spark: SparkSession, out: str, max_tries: int = 3) -> DataFrame
     return attempts(spark, out).where((F.col("status") == "rejected") | ((F.col("status") == "failed") & (F.col("tries") >= max_tries)))
 
 
+def _turns(open_: DataFrame, per_round: int) -> DataFrame:
+    """(doc_id, _turn): the round of every open file, ``per_round`` files to a round; those tried least and longest ago first."""
+    # the id holds the task's number above 33 bits of the row's: a segment is what one task of the sort has
+    queue = stage(open_.orderBy("tries", "at", "doc_id").select("doc_id", F.monotonically_increasing_id().alias("_at")), "queue")
+    placed = ordinal(queue, [], ["_at"], "_nth", seg_len=1 << 33)
+    return stage(placed.select("doc_id", F.floor(F.col("_nth") / per_round).cast("int").alias("_turn")), "turns")
+
+
 def retry_failed(
     files: DataFrame, out: str, layout_reader: LayoutReader, page_reader: PageReader | None = None,
     metadata: DataFrame | None = None, max_tries: int = 3, stall_limit: int = 3, per_round: int = 10_000,
 ) -> int:
-    """Try failed files again, in rounds of at most ``per_round``, those tried least and longest ago first.
+    """Try failed files again, in passes over all that have tries left.
 
-    ``files`` has the rows the stream had. Ends when no failed file has tries left, or after
-    ``stall_limit`` rounds in a row without a new report. Returns the number of rounds.
+    ``files`` has the rows the stream had. A pass tries each of them once, in rounds of at most
+    ``per_round``, those tried least and longest ago first. Ends when no failed file has tries
+    left, or after ``stall_limit`` passes in a row without a new report. Returns the number of rounds.
     """
     spark, rounds, stalled = files.sparkSession, 0, 0
+
+    def still_open() -> DataFrame:
+        return attempts(spark, out).where((F.col("status") == "failed") & (F.col("tries") < max_tries))
+
+    turns = _turns(still_open(), per_round)
+    last = turns.agg(F.max("_turn")).first()[0]
+    if last:  # the open files lie apart by round, so that a round does not read all files
+        waiting = stage(files.join(turns, "doc_id"), "waiting", by=["_turn"])
+    else:
+        waiting = files.withColumn("_turn", F.lit(0))
     while stalled < stall_limit:
-        open_ = attempts(spark, out).where((F.col("status") == "failed") & (F.col("tries") < max_tries))
-        chosen = stage(open_.orderBy("tries", "at", "doc_id").limit(per_round).select("doc_id"), "round")
-        if chosen.isEmpty():
+        left = stage(turns.join(still_open(), "doc_id", "left_semi"), "pass")
+        todo = sorted(r[0] for r in left.select("_turn").distinct().collect())
+        if not todo:
             break
-        again = files.join(chosen, "doc_id", "left_semi")
-        progress = _write_batch(
-            again, ingested(spark, out).select("doc_id"), out, f"batch=retry-{time.time_ns()}", layout_reader, page_reader, metadata
-        )
-        rounds, stalled = rounds + 1, 0 if progress else stalled + 1
+        progress = False
+        for turn in todo:
+            chosen = left.where(F.col("_turn") == turn).select("doc_id")
+            again = waiting.where(F.col("_turn") == turn).drop("_turn").join(chosen, "doc_id", "left_semi")
+            progress |= _write_batch(
+                again, ingested(spark, out).select("doc_id"), out, f"batch=retry-{time.time_ns()}", layout_reader, page_reader,
+                metadata,
+            )
+            rounds += 1
+        stalled = 0 if progress else stalled + 1
     return rounds
 
 
